@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exactdedup, tokenbin
+from . import decontaminate, exactdedup, tokenbin, warc
 
 QUERIES = {
     "op1_token_ids": tokenbin.op1_token_ids,
+    "op2_warc": warc.op2_warc,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op8_exact_dedup": exactdedup.op8_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op2_warc": warc.OP2_SQL,
+    "op5_decontamination": decontaminate.OP5_SQL,
     "op8_exact_dedup": exactdedup.OP8_SQL,
 }
