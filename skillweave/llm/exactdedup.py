@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, lower_ascii
+from .common import fresh_path, lower_ascii, saved
 
 SALT_ROWS = 20_000
 
@@ -35,9 +35,14 @@ class DigestIndex:
     def __init__(self, spark, path: str, fan_in: int = 4):
         self.spark, self.path, self.fan_in, self.runs = spark, path, fan_in, []
 
+    @staticmethod
+    def _filtered(rows: DataFrame):
+        """A writer whose files have Bloom filters as large as their digests need, not of the full default size."""
+        return rows.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+
     def _write(self, rows: DataFrame, name: str) -> str:
         at = f"{self.path}/{name}"
-        rows.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(at)
+        self._filtered(rows.sortWithinPartitions("digest")).parquet(at)
         return at
 
     def flush(self, rows: DataFrame, memtables: int = 4) -> None:
@@ -48,7 +53,7 @@ class DigestIndex:
             .agg(F.min("doc_id").alias("min_id"), F.max("doc_id").alias("max_id"), F.count("*").alias("n"))
             .sortWithinPartitions("memtable", "digest")
         )
-        runs.write.partitionBy("memtable").option("parquet.bloom.filter.enabled#digest", "true").parquet(f"{self.path}/{name}")
+        self._filtered(runs).partitionBy("memtable").parquet(f"{self.path}/{name}")
         self.runs += [f"{self.path}/{name}/memtable={k}" for k in range(memtables)]
         self.schema = runs.drop("memtable").schema
 
@@ -85,7 +90,7 @@ def exact_dedup(docs: DataFrame, *, keep: str = "max", memtables: int = 4) -> Da
 
     # narrow: rows that are alone; wide: rows of groups with their text
     alone = rows.select("doc_id", "digest").join(hits, "digest", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
-    found = rows.join(hits, "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    found = saved(rows.join(hits, "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")), "digest-hits")
     heads = (
         found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
         .groupBy("digest")
