@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, tokenbin, warc
+from . import decontaminate, exactdedup, ppm, tokenbin, warc
 
 QUERIES = {
     "op1_token_ids": tokenbin.op1_token_ids,
     "op2_warc": warc.op2_warc,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op8_exact_dedup": exactdedup.op8_exact_dedup,
+    "op9_lm_score": ppm.op9_lm_score,
 }
 
 ORACLE_SQL = {
