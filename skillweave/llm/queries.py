@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, ppm, tokenbin, warc
+from . import decontaminate, exactdedup, ppm, tokenbin, toxicity, warc
 
 QUERIES = {
     "op1_token_ids": tokenbin.op1_token_ids,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontamination": decontaminate.op5_decontamination,
     "op8_exact_dedup": exactdedup.op8_exact_dedup,
     "op9_lm_score": ppm.op9_lm_score,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
