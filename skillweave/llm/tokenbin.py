@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,34 +74,67 @@ def unpack(data: bytes, width: int, n: int) -> np.ndarray:
 
 class Encoder:
     """Ids of whole texts. A single space between two other characters always begins a new piece of a
-    byte-level vocabulary, so texts are cut there and each distinct piece is encoded once per worker."""
+    byte-level vocabulary, so texts are cut there and each distinct piece is encoded once per worker.
+    A piece of letters, or of letters and then stops, goes to the model straight: these are the
+    pieces that the vocabulary's own splitting makes of it."""
+
+    STOPS = ".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.pieces: dict[str, bytes | None] = {}
+        self.stops: dict[str, bytes] = {}
+        # the characters that stand for bytes in a byte-level vocabulary
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [x for x in range(256) if x not in shown]
+        self.shown = {x: chr(256 + hidden.index(x)) if x in hidden else chr(x) for x in range(256)}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, each after a space."""
+        tokenize, shown = self.model.tokenize, self.shown
+        return [array("I", [t.id for t in tokenize((" " + w).encode().decode("latin-1").translate(shown))]).tobytes() for w in words]
+
+    def _learn(self, new: set[str]) -> None:
+        letters, tailed, other = set(), [], []
+        for p in new:
+            if p.isalpha():
+                letters.add(p)
+            elif (word := p.rstrip(self.STOPS)).isalpha():
+                tailed.append((p, word, p[len(word) :]))
+                letters.add(word)
+            elif p and not p[0].isspace() and not p[-1].isspace():
+                other.append(p)
+            else:
+                self.pieces[p] = None  # a cut beside other white space is none
+        words = [w for w in letters if w not in self.pieces]
+        self.pieces.update(zip(words, self._letters(words), strict=True))
+        stops = list({x[2] for x in tailed}.difference(self.stops))
+        self.stops.update(zip(stops, self._ids(stops), strict=True))
+        self.pieces.update((p, self.pieces[w] + self.stops[s]) for p, w, s in tailed)
+        self.pieces.update(zip(other, self._ids([" " + p for p in other]), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
         cut = [t.split(" ") for t in texts]
-        new = list({p for parts in cut for p in parts[1:]}.difference(self.pieces))
-        safe = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        self.pieces.update(dict.fromkeys(new))
-        self.pieces.update(zip(safe, self._ids([" " + p for p in safe]), strict=True))
-        # a cut beside other white space is none: such texts are encoded whole
-        whole = [k for k, parts in enumerate(cut) if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace() or None in map(self.pieces.get, parts[1:]))]
+        self._learn({p for parts in cut for p in parts[1:]}.difference(self.pieces))
         heads = self._ids([parts[0] for parts in cut])
         out = []
-        skip = dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
-        for k, parts in enumerate(cut):
-            data = skip[k] if k in skip else heads[k] + b"".join(map(self.pieces.__getitem__, parts[1:]))
-            out.append(np.frombuffer(data, "<u4"))
+        for text, parts, head in zip(texts, cut, heads, strict=True):
+            try:
+                if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
+                    raise TypeError
+                data = head + b"".join(map(self.pieces.__getitem__, parts[1:]))
+            except TypeError:
+                data = self._ids([text])[0]
+            out.append(np.frombuffer(data, np.uint32))
         return out
 
 
