@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, ngramjoin, ppm, tokenbin, toxicity, warc
+from . import decontaminate, exactdedup, mixing, ngramjoin, ppm, tokenbin, toxicity, warc
 
 QUERIES = {
     "op1_token_ids": tokenbin.op1_token_ids,
     "op2_warc": warc.op2_warc,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_mixing": mixing.op6_mixing,
     "op7_ngram_jaccard": ngramjoin.op7_ngram_jaccard,
     "op8_exact_dedup": exactdedup.op8_exact_dedup,
     "op9_lm_score": ppm.op9_lm_score,
