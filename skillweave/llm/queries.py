@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exactdedup, mixing, ngramjoin, ppm, tokenbin, toxicity, warc
+from . import chat, decontaminate, exactdedup, langid, mixing, ngramjoin, ppm, tokenbin, toxicity, warc
 
 QUERIES = {
     "op1_token_ids": tokenbin.op1_token_ids,
     "op2_warc": warc.op2_warc,
+    "op3_language_id": langid.op3_language_id,
+    "op4_chat_collapse": chat.op4_chat_collapse,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_mixing": mixing.op6_mixing,
     "op7_ngram_jaccard": ngramjoin.op7_ngram_jaccard,
@@ -17,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_warc": warc.OP2_SQL,
+    "op4_chat_collapse": chat.OP4_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
     "op8_exact_dedup": exactdedup.OP8_SQL,
 }
