@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import matching
+from . import facts, matching
 
-ALL = {**matching.QUERIES}
+ALL = {**matching.QUERIES, **facts.QUERIES}
 QUERIES = {name: query for name, (query, _) in ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in ALL.items() if sql}
