@@ -98,6 +98,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENTS_SQL = """
-ev AS (SELECT event_id AS id, ts AS at, event_type AS kind, user_id AS job, value, props AS payload,
+ev AS (SELECT event_id AS id, ts AS ats, event_type AS kind, user_id AS job, value, props AS payload,
               CASE WHEN value < 20 THEN 'pending' WHEN value < 60 THEN 'approved' WHEN value < 90 THEN 'auto_passed' ELSE 'rejected' END AS review FROM events)
 """
