@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import facts, matching, texts
+from . import facts, matching, streams, texts
 
-ALL = {**matching.QUERIES, **facts.QUERIES, **texts.QUERIES}
+ALL = {**matching.QUERIES, **facts.QUERIES, **texts.QUERIES, **streams.QUERIES}
 QUERIES = {name: query for name, (query, _) in ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in ALL.items() if sql}
