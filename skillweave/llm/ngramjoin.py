@@ -11,8 +11,8 @@ what the sizes of both allow.
 Only components are asked for, so pairs inside one component need no verification: in each of a few star
 rounds every set is verified against one pivot, the most central set of its postings; then all candidate pairs
 between different components are verified, which makes the result exact. Before any text is fetched, an
-exact upper bound on the overlap, from counts of shingles in BUCKETS buckets, drops most
-candidates. Texts that are left are fetched once, by a fixed-size Bloom filter on their ids.
+exact upper bound on the overlap, from bitmaps of the buckets that shingles fall into, drops most
+candidates; postings with many classes make theirs block by block, as rows only within that bound. Texts that are left are fetched once, by a fixed-size Bloom filter on their ids.
 
 Nothing is dropped or capped: HOT and the order only say which elements come first. At most MAX_HOT
 shingles are moved to the end (HOT rises if there are more), so what is broadcast is bounded. Class
@@ -42,7 +42,10 @@ HOT = 64
 MAX_HOT = 1 << 20
 LONGEST = 4
 STAR_ROUNDS = 2
-BUCKETS = 64
+#: Bits of a set's bitmap, postings that are paired as rows at most, members of a block of longer ones.
+BITS = 2048
+PAIRED = 32
+BLOCK = 1024
 
 
 def sets_of(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +74,17 @@ def class_keys(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketches(flat: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Per document the number of shingles in each bucket (of more than 65535 that many: the bound stays one)."""
+    """Per document a bitmap of the buckets that its shingles fall into."""
     n = len(first) - 1
-    doc = np.repeat(np.arange(n), np.diff(first))
-    table = np.bincount(doc * BUCKETS + (flat & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=n * BUCKETS)
-    return [row.tobytes() for row in table.reshape(n, BUCKETS).astype("<u4")]
+    table = np.zeros((n, BITS), bool)
+    table[np.repeat(np.arange(n), np.diff(first)), (flat & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return [row.tobytes() for row in np.packbits(table, axis=1)]
+
+
+def can_reach(n_x, n_y, bits_x, bits_y, common):
+    """Whether the threshold is within reach: a bucket that only one set has holds an element that the other lacks."""
+    most = np.minimum(n_x - (bits_x - common), n_y - (bits_y - common))
+    return 100 * most >= PERCENT * (n_x + n_y - most)
 
 
 def least_overlap(n):
@@ -180,32 +189,71 @@ def star_candidates(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.groupBy(F.col("cid").alias("a")).agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
 
 
-def cross_candidates(rows: DataFrame) -> DataFrame:
-    """All pairs of different components that share enough prefix elements."""
+def cross_candidates(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """All pairs of different components that share enough prefix elements and may reach the threshold.
+
+    Postings of up to PAIRED classes make their pairs by a join. Longer ones are cut into blocks of about BLOCK
+    classes, and each pair of blocks is one group in which bitmaps rule pairs out, so that only
+    pairs within reach become rows.
+    """
     w = Window.partitionBy("h")
-    mixed = rows.withColumn("one", F.min("comp").over(w)).withColumn("two", F.max("comp").over(w)).filter("one <> two").select("h", "cid", "n", "rank", "l", "comp")
+    mixed = rows.withColumn("one", F.min("comp").over(w)).withColumn("two", F.max("comp").over(w)).withColumn("size", F.count("*").over(w)).filter("one <> two").select("h", "cid", "n", "rank", "l", "comp", "size")
     mixed = saved(mixed, "mixed-postings")
-    a, b = (mixed.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "rank", "l", "comp"))) for s in "ab")
+    a, b = (mixed.filter(F.col("size") <= PAIRED).select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "rank", "l", "comp"))) for s in "ab")
     o = F.expr(f"({PERCENT}L * (n_a + n_b) + {99 + PERCENT}) div {100 + PERCENT}")
     least = F.least("l_a", "l_b")
     pairs = a.join(b, "h").filter("cid_a < cid_b and comp_a <> comp_b and " + sizes_fit("n_a", "n_b")).filter((F.col("rank_a") < F.col("n_a") - o + least) & (F.col("rank_b") < F.col("n_b") - o + least))
-    return pairs.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count("*").alias("shared"), F.first(least).alias("need")).filter("shared >= need").select("a", "b")
+    # a pair may share its other elements in longer postings, so those of its prefixes in any of them count
+    few = pairs.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count("*").alias("shared"), F.first(least).alias("need"))
+    some = mixed.filter(F.col("size") > PAIRED).select(F.col("cid").alias("a")).distinct().withColumn("longer", F.lit(True))
+    few = few.join(some, "a", "left").filter("shared >= need or longer").select("a", "b")
+    light = overlap_can_do(few, sketch)
+    heavy = mixed.filter(F.col("size") > PAIRED).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    heavy = heavy.join(sketch.drop("n"), "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    heavy = heavy.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def block_pairs(table: pa.Table) -> pa.Table:
+        cid, n, rank, size, comp, block = (table.column(c).to_numpy().astype(np.int64) for c in ("cid", "n", "rank", "l", "comp", "block"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        bits = np.unpackbits(np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(cid), -1), axis=1).astype(np.float32)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out_a, out_b = [], []
+        for s in range(0, len(left), 512):
+            x = left[s : s + 512][:, None]
+            y = right[None, :]
+            o = -(-PERCENT * (n[x] + n[y]) // (100 + PERCENT))
+            need = np.minimum(size[x], size[y])
+            ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])) & (rank[x] < n[x] - o + need) & (rank[y] < n[y] - o + need)
+            if i == j:
+                ok &= cid[x] < cid[y]
+            common = bits[x[:, 0]] @ bits[right].T
+            own = bits.sum(1)
+            ok &= can_reach(n[x], n[y], own[x], own[y], common)
+            p, q = np.nonzero(ok)
+            p, q = cid[x[p, 0]], cid[right[q]]
+            out_a.append(np.minimum(p, q))
+            out_b.append(np.maximum(p, q))
+        return pa.table({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
+
+    dense = heavy.groupBy("h", "i", "j").applyInArrow(block_pairs, "a long, b long").distinct()
+    return light.unionByName(dense).distinct()
 
 
 def overlap_can_do(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Drops pairs whose bucket counts rule the threshold out."""
+    """Drops pairs whose bitmaps rule the threshold out."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 20_000):
-                part = batch.slice(s, 20_000)
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u4").reshape(-1, BUCKETS) for c in ("sketch_a", "sketch_b"))
-                both = np.minimum(x, y).sum(1)
-                keep = 100 * both >= PERCENT * (x.sum(1) + y.sum(1) - both)
+            for s in range(0, batch.num_rows, 10_000):
+                part = batch.slice(s, 10_000)
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(part.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+                n_x, n_y = (part.column(c).to_numpy() for c in ("n_a", "n_b"))
+                count = lambda z: np.bitwise_count(z).sum(1, dtype=np.int64)
+                keep = can_reach(n_x, n_y, count(x), count(y), count(x & y))
                 yield pa.RecordBatch.from_pydict({c: part.column(c).filter(pa.array(keep)) for c in ("a", "b")})
 
-    a, b = (sketch.select(F.col("cid").alias(s), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sketch_a", "sketch_b").mapInArrow(bound, "a long, b long")
+    a, b = (sketch.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(bound, "a long, b long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -270,15 +318,15 @@ def jaccard_components(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
     classes = saved(sets.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
     rows = postings(docs, k)
     ours = rows.select("cid").distinct()
-    sketch = saved(sets.join(ours, "cid").groupBy("cid").agg(F.first("sketch").alias("sketch")), "sketches")
+    sketch = saved(sets.join(ours, "cid").groupBy("cid").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n")), "sketches")
     links, comp = None, None
     for turn in range(STAR_ROUNDS + 1):
         if comp is None:
             placed = rows.withColumn("comp", F.col("cid"))
         else:
             placed = rows.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        pairs = star_candidates(placed, turn) if turn < STAR_ROUNDS else cross_candidates(placed)
-        pairs = saved(overlap_can_do(pairs, sketch), "candidates")
+        pairs = overlap_can_do(star_candidates(placed, turn), sketch) if turn < STAR_ROUNDS else cross_candidates(placed, sketch)
+        pairs = saved(pairs, "candidates")
         new = verified(docs, pairs, classes, k)
         links = new if links is None else links.unionByName(new)
         comp = components(links)
