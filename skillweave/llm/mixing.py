@@ -82,7 +82,8 @@ class DomainModel:
 def learn_domains(docs: DataFrame, labelled: DataFrame, sharpness: float = SHARPNESS) -> DomainModel:
     """From labelled(doc_id, domain), all its rows."""
     own = labelled.filter("doc_id is not null and domain is not null").select("doc_id", F.col("domain").cast("string").alias("domain")).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    rows = docs.select("doc_id", "text").join(own, "doc_id").select("domain", "text")
+    # the labelled table has no bound, so it is never broadcast: one plan at every size
+    rows = docs.select("doc_id", "text").join(own.hint("merge"), "doc_id").select("domain", "text")
     sizes = {r["domain"]: r["count"] for r in own.groupBy("domain").count().collect()}
     domains = sorted(sizes) or ["all"]
     counts = np.zeros((len(domains), BUCKETS))
