@@ -2,6 +2,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -29,7 +30,7 @@ def duck():
 
 
 def canonical(value):
-    if value is None or value != value:
+    if value is None or (pd.api.types.is_scalar(value) and pd.isna(value)):
         return None
     if isinstance(value, bool) or str(value) in ("True", "False"):
         return str(value)
