@@ -48,6 +48,47 @@ def rank_within_caps(stats: DataFrame, order: list, required_cap: int = REQUIRED
     return ranked.withColumn("kind", F.when((F.col("wants") == 1) & (nth <= required_cap), "required").otherwise("bonus"))
 
 
+def select_within_budget(units: DataFrame, required_cap: int = REQUIRED_CAP, formal_cap: int = FORMAL_CAP) -> DataFrame:
+    """Greedy selection of units(job, unit, place, cost, wants) in order of place: one that does not fit is skipped, a wanted one that
+    only fits as bonus is demoted. A job has at most some hundreds of units, so one job is one group."""
+    import pandas as pd
+
+    def pick(rows: pd.DataFrame) -> pd.DataFrame:
+        required = formal = 0
+        out = []
+        for r in rows.sort_values(["place", "unit"], kind="stable").itertuples():
+            if formal + r.cost > formal_cap:
+                continue
+            as_required = r.wants == 1 and required + r.cost <= required_cap
+            required += r.cost if as_required else 0
+            formal += r.cost
+            out.append((r.job, r.unit, "required" if as_required else "bonus", formal))
+        return pd.DataFrame(out, columns=["job", "unit", "kind", "formal"])
+
+    return units.select("job", "unit", "place", "cost", "wants").groupBy("job").applyInPandas(pick, "job long, unit string, kind string, formal long")
+
+
+def repair_groups(rows: DataFrame, action: str, least: int = 1, kind: str = "required") -> DataFrame:
+    """Groups of rows(job, skill, kind, group_id, min_required) repaired: split_by_kind, set_kind, set_min_required or dissolve."""
+    grouped = F.col("group_id").isNotNull()
+    if action == "split_by_kind":
+        return rows.withColumn("group_id", F.when(grouped, F.concat_ws(":", "group_id", "kind")))
+    if action == "set_kind":
+        return rows.withColumn("kind", F.when(grouped, F.lit(kind)).otherwise(F.col("kind")))
+    if action == "set_min_required":
+        size = F.count("*").over(Window.partitionBy("job", "group_id"))
+        return rows.withColumn("min_required", F.when(grouped, F.least(F.lit(least), size).cast("int")).otherwise(F.col("min_required")))
+    if action == "dissolve":
+        return rows.withColumn("group_id", F.lit(None).cast("string")).withColumn("min_required", F.lit(1))
+    raise ValueError(action)
+
+
+def definition_passed(claims: DataFrame) -> DataFrame:
+    """Whether a job has claims(job, claim, type, n_sources) and each has two sources, a scenario one."""
+    need = F.when(F.col("type") == "scenario", 1).otherwise(2)
+    return claims.groupBy("job").agg(F.count("*").alias("n_claims"), F.min(F.col("n_sources") >= need).alias("passed"))
+
+
 def missing_endpoints(edges: DataFrame, column: str, nodes: DataFrame, key: str) -> DataFrame:
     """Edges whose end is no node."""
     return edges.join(nodes.select(F.col(key).alias(column)).distinct(), column, "left_anti")
