@@ -9,7 +9,8 @@ as l grows. A pair is a candidate when it shares min(l of both) elements of its
 what the sizes of both allow.
 
 Only components are asked for, so pairs inside one component need no verification: in each of a few star
-rounds every set is verified against one pivot, the most central set of its postings; then all candidate pairs
+rounds every set is verified against one pivot, first the most central set of its postings, and in one
+more round against its closest set in long postings; then all candidate pairs
 between different components are verified, which makes the result exact. Before any text is fetched, an
 exact upper bound on the overlap, from bitmaps of the buckets that shingles fall into, drops most
 candidates; postings with many classes make theirs block by block, as rows only within that bound. Texts that are left are fetched once, by a fixed-size Bloom filter on their ids.
@@ -41,7 +42,7 @@ PERCENT = 80
 HOT = 64
 MAX_HOT = 1 << 20
 LONGEST = 4
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 #: Bits of a set's bitmap, postings that are paired as rows at most, members of a block of longer ones.
 BITS = 2048
 PAIRED = 32
@@ -81,9 +82,12 @@ def sketches(flat: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in np.packbits(table, axis=1)]
 
 
-def can_reach(n_x, n_y, bits_x, bits_y, common):
-    """Whether the threshold is within reach: a bucket that only one set has holds an element that the other lacks."""
-    most = np.minimum(n_x - (bits_x - common), n_y - (bits_y - common))
+def most_overlap(n_x, n_y, bits_x, bits_y, common):
+    """An upper bound on the overlap: a bucket that only one set has holds an element that the other lacks."""
+    return np.minimum(n_x - (bits_x - common), n_y - (bits_y - common))
+
+
+def can_reach(n_x, n_y, most):
     return 100 * most >= PERCENT * (n_x + n_y - most)
 
 
@@ -189,54 +193,67 @@ def star_candidates(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.groupBy(F.col("cid").alias("a")).agg(F.max(F.struct("shared", "b"))["b"].alias("b"))
 
 
-def cross_candidates(rows: DataFrame, sketch: DataFrame) -> DataFrame:
-    """All pairs of different components that share enough prefix elements and may reach the threshold.
+def mixed_postings(rows: DataFrame) -> DataFrame:
+    """Postings that hold classes of different components, with their number of classes."""
+    w = Window.partitionBy("h")
+    mixed = rows.withColumn("one", F.min("comp").over(w)).withColumn("two", F.max("comp").over(w)).withColumn("size", F.count("*").over(w)).filter("one <> two")
+    return saved(mixed.select("h", "cid", "n", "rank", "l", "comp", "size"), "mixed-postings")
 
-    Postings of up to PAIRED classes make their pairs by a join. Longer ones are cut into blocks of about BLOCK
-    classes, and each pair of blocks is one group in which bitmaps rule pairs out, so that only
-    pairs within reach become rows.
+
+def block_candidates(mixed: DataFrame, sketch: DataFrame, best: bool) -> DataFrame:
+    """Pairs across components in postings of more than PAIRED classes: all whose bitmaps leave the threshold within reach, or of these each
+    class's closest alone. Each pair of blocks of about BLOCK classes is one group, so only such pairs become rows.
+
+    Prefixes for one shared element serve here: they hold a common element of every similar pair, whatever l its sets have.
     """
-    w = Window.partitionBy("h")
-    mixed = rows.withColumn("one", F.min("comp").over(w)).withColumn("two", F.max("comp").over(w)).withColumn("size", F.count("*").over(w)).filter("one <> two").select("h", "cid", "n", "rank", "l", "comp", "size")
-    mixed = saved(mixed, "mixed-postings")
-    a, b = (mixed.filter(F.col("size") <= PAIRED).select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "rank", "l", "comp"))) for s in "ab")
-    o = F.expr(f"({PERCENT}L * (n_a + n_b) + {99 + PERCENT}) div {100 + PERCENT}")
-    least = F.least("l_a", "l_b")
-    pairs = a.join(b, "h").filter("cid_a < cid_b and comp_a <> comp_b and " + sizes_fit("n_a", "n_b")).filter((F.col("rank_a") < F.col("n_a") - o + least) & (F.col("rank_b") < F.col("n_b") - o + least))
-    # a pair may share its other elements in longer postings, so those of its prefixes in any of them count
-    few = pairs.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count("*").alias("shared"), F.first(least).alias("need"))
-    some = mixed.filter(F.col("size") > PAIRED).select(F.col("cid").alias("a")).distinct().withColumn("longer", F.lit(True))
-    few = few.join(some, "a", "left").filter("shared >= need or longer").select("a", "b")
-    light = overlap_can_do(few, sketch)
     heavy = mixed.filter(F.col("size") > PAIRED).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    heavy = heavy.filter(F.col("rank") <= F.col("n") - least_overlap_sql("n"))
     heavy = heavy.join(sketch.drop("n"), "cid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    heavy = heavy.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    heavy = heavy.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "rank", "comp", "sketch")
 
     def block_pairs(table: pa.Table) -> pa.Table:
-        cid, n, rank, size, comp, block = (table.column(c).to_numpy().astype(np.int64) for c in ("cid", "n", "rank", "l", "comp", "block"))
+        cid, n, rank, comp, block = (table.column(c).to_numpy().astype(np.int64) for c in ("cid", "n", "rank", "comp", "block"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         bits = np.unpackbits(np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(cid), -1), axis=1).astype(np.float32)
+        own = bits.sum(1)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        out_a, out_b = [], []
+        found = [np.zeros((0, 2), np.int64)]
         for s in range(0, len(left), 512):
-            x = left[s : s + 512][:, None]
-            y = right[None, :]
+            x, y = left[s : s + 512][:, None], right[None, :]
             o = -(-PERCENT * (n[x] + n[y]) // (100 + PERCENT))
-            need = np.minimum(size[x], size[y])
-            ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])) & (rank[x] < n[x] - o + need) & (rank[y] < n[y] - o + need)
+            ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])) & (rank[x] <= n[x] - o) & (rank[y] <= n[y] - o)
             if i == j:
                 ok &= cid[x] < cid[y]
-            common = bits[x[:, 0]] @ bits[right].T
-            own = bits.sum(1)
-            ok &= can_reach(n[x], n[y], own[x], own[y], common)
+            most = most_overlap(n[x], n[y], own[x], own[y], bits[x[:, 0]] @ bits[right].T)
+            ok &= can_reach(n[x], n[y], most)
+            if best and ok.any():
+                value = np.where(ok, most / (n[x] + n[y] - most), -1)
+                only = np.zeros_like(ok)
+                only[np.arange(len(ok)), value.argmax(1)] = True
+                only[value.argmax(0), np.arange(ok.shape[1])] = True
+                ok &= only
             p, q = np.nonzero(ok)
             p, q = cid[x[p, 0]], cid[right[q]]
-            out_a.append(np.minimum(p, q))
-            out_b.append(np.maximum(p, q))
-        return pa.table({"a": np.concatenate(out_a) if out_a else np.zeros(0, np.int64), "b": np.concatenate(out_b) if out_b else np.zeros(0, np.int64)})
+            found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
+        pairs = np.concatenate(found)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return heavy.groupBy("h", "i", "j").applyInArrow(block_pairs, "a long, b long").distinct()
+
 
-    dense = heavy.groupBy("h", "i", "j").applyInArrow(block_pairs, "a long, b long").distinct()
-    return light.unionByName(dense).distinct()
+def cross_candidates(rows: DataFrame, sketch: DataFrame) -> DataFrame:
+    """All pairs of different components that share enough prefix elements and may reach the threshold. Postings of up to PAIRED classes make
+    their pairs by a join, longer ones by blocks."""
+    mixed = mixed_postings(rows)
+    a, b = (mixed.filter(F.col("size") <= PAIRED).select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "rank", "l", "comp"))) for s in "ab")
+    o = F.expr(f"({PERCENT}L * (n_a + n_b) + {99 + PERCENT}) div {100 + PERCENT}")
+    least = F.least("l_a", "l_b")
+    pairs = a.join(b, "h").filter("cid_a < cid_b and comp_a <> comp_b and " + sizes_fit("n_a", "n_b")).filter((F.col("rank_a") < F.col("n_a") - o + least) & (F.col("rank_b") < F.col("n_b") - o + least))
+    few = pairs.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count("*").alias("shared"), F.first(least).alias("need"))
+    # a pair may share its other elements in longer postings: then one is enough here
+    some = mixed.filter(F.col("size") > PAIRED).select(F.col("cid").alias("a")).distinct().withColumn("longer", F.lit(True))
+    few = few.join(some, "a", "left").filter("shared >= need or longer").select("a", "b")
+    return overlap_can_do(few, sketch).unionByName(block_candidates(mixed, sketch, best=False)).distinct()
 
 
 def overlap_can_do(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
@@ -249,7 +266,7 @@ def overlap_can_do(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(part.num_rows, -1) for c in ("sketch_a", "sketch_b"))
                 n_x, n_y = (part.column(c).to_numpy() for c in ("n_a", "n_b"))
                 count = lambda z: np.bitwise_count(z).sum(1, dtype=np.int64)
-                keep = can_reach(n_x, n_y, count(x), count(y), count(x & y))
+                keep = can_reach(n_x, n_y, most_overlap(n_x, n_y, count(x), count(y), count(x & y)))
                 yield pa.RecordBatch.from_pydict({c: part.column(c).filter(pa.array(keep)) for c in ("a", "b")})
 
     a, b = (sketch.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
@@ -320,12 +337,17 @@ def jaccard_components(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
     ours = rows.select("cid").distinct()
     sketch = saved(sets.join(ours, "cid").groupBy("cid").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n")), "sketches")
     links, comp = None, None
-    for turn in range(STAR_ROUNDS + 1):
+    for turn in range(STAR_ROUNDS + 2):
         if comp is None:
             placed = rows.withColumn("comp", F.col("cid"))
         else:
             placed = rows.join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        pairs = overlap_can_do(star_candidates(placed, turn), sketch) if turn < STAR_ROUNDS else cross_candidates(placed, sketch)
+        if turn < STAR_ROUNDS:
+            pairs = overlap_can_do(star_candidates(placed, turn), sketch)
+        elif turn == STAR_ROUNDS:
+            pairs = block_candidates(mixed_postings(placed), sketch, best=True)
+        else:
+            pairs = cross_candidates(placed, sketch)
         pairs = saved(pairs, "candidates")
         new = verified(docs, pairs, classes, k)
         links = new if links is None else links.unionByName(new)
