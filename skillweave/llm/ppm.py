@@ -4,12 +4,14 @@ Training counts every (ORDER bytes, next byte) gram of every training text, begi
 included; tasks add up their own grams before the shuffle. Shorter contexts follow by summing. From
 the counts the trie of contexts is compiled once: escape estimation by the number of distinct symbols
 (method D: half a count per symbol), and symbol exclusion, which a static trie allows to be worked out per context, because the
-symbols seen after a context are a subset of those seen after its suffix. A compiled row has the log
-probability of every symbol in its context, so scoring a text is a few vectorised look-ups per byte
-and a sum.
+symbols seen after a context are a subset of those seen after its suffix.
 
-The trie keeps at most ``max_contexts`` contexts per order, the most frequent ones: this size of the
-model is a parameter of it, as a vocabulary size is. Counts cover all training texts, and scores all texts.
+The model has every context and gram of every order and grows with the corpus: it is a table of counts per order,
+never gathered. What a symbol costs follows from its gram of full length alone. The costs of the
+most frequent grams are a cache of bounded size that tasks look up; all other grams of a text, added up per text, join the
+costs by shuffle: those of grams that training texts have, and for the rest what the descent through
+the shorter contexts gives, one join an order. The cache's size changes no score. ``Trie`` is the same model within
+one process, of at most as many contexts as asked for; queries don't use it.
 
 The unigram base needs the count of every token of the corpus. The most frequent words, a table
 of bounded size, are looked up in the tasks; all others join the full count table by shuffle.
@@ -33,7 +35,7 @@ from .common import saved
 from .textscan import LOWER, SPACED, mix, slices, words
 
 ORDER = 6
-MAX_CONTEXTS = 1 << 16
+FREQUENT_GRAMS = 1 << 21
 FREQUENT_WORDS = 1 << 18
 END = 0xFF  # no byte of UTF-8
 END_TOKEN = np.array([0x5EED0F7E], np.int64)[0]
@@ -96,11 +98,11 @@ def corpus_counts(docs: DataFrame, order: int) -> DataFrame:
             column = batch.column("text")
             for _, raw, offsets in slices(column):
                 grams.add(gram_codes(raw, offsets, order))
+                yield from grams.rows(0, False)  # after each slice: a batch may hold many
             for found in words(column, SPACED):
                 tokens.add(found.hashes)
+                yield from tokens.rows(1, False)
             tokens.add(np.array([END_TOKEN]).view(np.uint64), np.array([batch.num_rows]))
-            yield from grams.rows(0, False)
-            yield from tokens.rows(1, False)
         yield from grams.rows(0, True)
         yield from tokens.rows(1, True)
 
@@ -227,29 +229,110 @@ def build_trie(counts: DataFrame, order: int, max_contexts: int) -> Trie:
     return Trie(levels, symbols)
 
 
-def lm_scores(docs: DataFrame, *, order: int = ORDER, max_contexts: int = MAX_CONTEXTS, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+def gram_levels(counts: DataFrame, order: int) -> list[DataFrame]:
+    """code, n of all grams of each order from 0; shorter ones are sums of longer ones."""
+    levels = [saved(counts.filter("kind = 0").select("code", "n"), "grams")]
+    for k in range(order - 1, -1, -1):
+        shorter = F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1)
+        levels.insert(0, saved(levels[0].groupBy(shorter.alias("code")).agg(F.sum("n").alias("n")), "grams"))
+    return levels
+
+
+def seen_costs(grams: DataFrame) -> DataFrame:
+    """code, n, cost of the grams of full length that training texts have."""
+    total = F.sum("n").over(Window.partitionBy(F.shiftrightunsigned("code", 8)))  # 256 rows at most
+    return grams.select("code", "n", F.log10((F.col("n") - 0.5) / total).alias("cost"))
+
+
+def unseen_costs(codes: DataFrame, levels: list[DataFrame], never: float) -> DataFrame:
+    """code, cost of distinct codes that no training text has: the way down from the longest known context, one join an order."""
+    # seen: the symbols of the longer context that was escaped from; null where none was known so far
+    out = codes.select("code", F.lit(0.0).alias("cost"), F.lit(False).alias("done"), F.lit(None).cast("array<int>").alias("seen"))
+    symbol = F.col("code").bitwiseAND(255).cast("int")
+    for k in range(len(levels) - 1, -1, -1):
+        entries = F.map_from_entries(F.collect_list(F.struct(symbol.alias("symbol"), "n")))  # 256 at most
+        own = levels[k].groupBy(F.shiftrightunsigned("code", 8).alias("context")).agg(F.sum("n").alias("total"), entries.alias("counts"))
+        # up to order 1 there are 256 contexts at most; longer ones are never broadcast: one plan at every size
+        own = F.broadcast(own) if k < 2 else own.hint("merge")
+        rows = out.withColumn("context", F.shiftrightunsigned("code", 8).bitwiseAND((1 << 8 * k) - 1)).join(own, "context", "left")
+        n, kinds, fresh = F.try_element_at("counts", symbol), F.size("counts"), F.col("seen").isNull()
+        low = F.aggregate("seen", F.lit(0).cast("long"), lambda t, x: t + F.coalesce(F.try_element_at("counts", x), F.lit(0).cast("long")))
+        rest = F.when(fresh, F.col("total")).otherwise(F.greatest(F.col("total") - low, F.lit(1)))
+        more = F.when(fresh, kinds).otherwise(kinds - F.size("seen"))
+        step = F.when(n.isNotNull(), F.log10((n - 0.5) / rest)).when(more > 0, F.log10(more / 2 / rest)).otherwise(0.0)
+        at = F.col("total").isNotNull() & ~F.col("done")
+        out = rows.select(
+            "code",
+            (F.col("cost") + F.when(at, step).otherwise(0.0)).alias("cost"),
+            (F.col("done") | (at & n.isNotNull())).alias("done"),
+            F.when(at & n.isNull(), F.map_keys("counts")).when(~F.col("done"), F.col("seen")).alias("seen"),
+        )
+    return out.select("code", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") + never).alias("cost"))
+
+
+def most_frequent(rows: DataFrame, value: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """code, value of rows(code, n) of the highest counts, ``most`` at most: whole classes of counts, so nothing is sorted."""
+    size = F.floor(F.log2("n") * 8)
+    sizes = sorted(((r["size"], r["count"]) for r in rows.groupBy(size.alias("size")).count().collect()), reverse=True)
+    held = np.cumsum([c for _, c in sizes])
+    kept = [s for (s, _), c in zip(sizes, held, strict=True) if c <= most]
+    if not kept:
+        return np.zeros(0, np.int64), np.zeros(0)
+    top = rows.filter(size >= kept[-1]).select("code", value).toArrow()
+    return top.column("code").to_numpy(), top.column(value).to_numpy()
+
+
+def pairs(row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each distinct (row, code) and how often it comes."""
+    order = np.lexsort((code, row))
+    row, code = row[order], code[order]
+    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))[: len(row)])
+    return row[first], code[first], np.diff(np.append(first, len(row)))
+
+
+def lm_scores(docs: DataFrame, *, order: int = ORDER, frequent_grams: int = FREQUENT_GRAMS, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of docs(doc_id, text)."""
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     rows = docs.select("doc_id", "text", held.alias("held_out"))
     counts = saved(corpus_counts(rows.filter(~F.col("held_out")), order), "corpus-counts")
-    tokens = counts.filter("kind = 1").select(F.col("code").alias("word"), F.col("n").alias("c"))
-    n_train, v_train = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = tokens.orderBy(F.desc("c"), "word").limit(frequent_words).toPandas().sort_values("word")
+    tokens = counts.filter("kind = 1").select("code", "n")
+    n_train, v_train = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    frequent, often = most_frequent(tokens, "n", frequent_words)
+    by_code = np.argsort(frequent)
+    frequent, often = frequent[by_code], often[by_code]
     norm = n_train + 0.1 * (v_train + 1)
-    shared = spark.sparkContext.broadcast((build_trie(counts, order, max_contexts), top["word"].to_numpy(np.int64), top["c"].to_numpy(np.int64)))
+    levels = gram_levels(counts, order)
+    never = float(-np.log10(max(1, 256 - levels[0].count())))
+    costs = saved(seen_costs(levels[-1]), "gram-costs")
+    codes, cost = most_frequent(costs, "cost", frequent_grams)
+    lookup = Lookup(codes.view(np.uint64))
+    cost, lookup.order = np.append(cost[lookup.order], 0).astype(np.float32), None
+    shared = spark.sparkContext.broadcast((lookup, cost, frequent, often))
+    del codes, lookup, cost, frequent, often
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, frequent, often = shared.value
+        lookup, cost, frequent, often = shared.value
         often = np.append(often, 0)
         row = TaskContext.get().partitionId() << 40
+
+        def rare(kind: int, rr: np.ndarray, rc: np.ndarray, tf: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(rr), 200_000):
+                k = slice(a, a + 200_000)
+                m = len(rr[k])
+                yield pa.RecordBatch.from_arrays([pa.array(rr[k]), pa.array(np.full(m, kind), pa.int32()), pa.array(rc[k]), pa.array(tf[k]), *(pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], NAMES)
+
         for batch in batches:
             column, n = batch.column("text"), batch.num_rows
             score, size, known, base = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
             for first, raw, offsets in slices(column):
                 lengths = np.diff(offsets) + 1
-                score[first : first + len(lengths)] = np.add.reduceat(trie.score(gram_codes(raw, offsets, trie.order)), np.cumsum(lengths) - lengths)
-            rare_rows, rare_words = [], []
+                code = gram_codes(raw, offsets, order)
+                at = lookup.find(code) if len(lookup.h) > 1 else np.full(len(code), -1)
+                score[first : first + len(lengths)] = np.add.reduceat(cost[at], np.cumsum(lengths) - lengths, dtype=np.float64)  # the last cost, of what isn't found, is 0
+                left = np.flatnonzero(at < 0)
+                if len(left):
+                    yield from rare(0, *pairs(row + first + np.repeat(np.arange(len(lengths)), lengths)[left], code[left].view(np.int64)))
             for found in words(column, SPACED):
                 h = np.insert(found.hashes.view(np.int64), found.first[1:], END_TOKEN)
                 ends = found.first + np.arange(len(found.first))
@@ -261,21 +344,19 @@ def lm_scores(docs: DataFrame, *, order: int = ORDER, max_contexts: int = MAX_CO
                 k = slice(found.row, found.row + len(found.counts))
                 base[k], known[k], size[k] = np.add.reduceat(value, ends[:-1]), np.add.reduceat(hit, ends[:-1], dtype=np.int64), np.diff(ends)
                 doc = np.repeat(np.arange(len(found.counts)), np.diff(ends))[~hit]
-                rare_rows.append(row + found.row + doc)
-                rare_words.append(h[~hit])
-            names = batch.column("doc_id")
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), pa.nulls(n, pa.int64()), names, batch.column("held_out"), pa.array(size), pa.array(known), pa.array(base), pa.array(score)], NAMES)
-            rr, rw = np.concatenate(rare_rows), np.concatenate(rare_words)
-            for a in range(0, len(rr), 200_000):
-                m = len(rr[a : a + 200_000])
-                yield pa.RecordBatch.from_arrays([pa.array(rr[a : a + m]), pa.array(rw[a : a + m]), *(pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], NAMES)
+                if len(doc):
+                    yield from rare(1, *pairs(row + found.row + doc, h[~hit]))
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.int64()) for _ in range(2)), batch.column("doc_id"), batch.column("held_out"), pa.array(size), pa.array(known), pa.array(base), pa.array(score)], NAMES)
             row += n
 
     found = saved(rows.mapInArrow(scan, SCAN), "scores")
-    rare = found.filter("word is not null").groupBy("row", "word").agg(F.count("*").alias("tf"))
-    c = F.coalesce("c", F.lit(0))
-    rare = rare.join(tokens, "word", "left").groupBy("row").agg(F.sum(F.col("tf") * F.log10((c + 0.1) / F.lit(float(norm)))).alias("more"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"))
-    out = found.filter("word is null").drop("word").join(rare, "row", "left")
+    grams = found.filter("kind = 0").select("row", "code", "tf")
+    fresh = grams.select("code").distinct().join(costs.select("code").hint("merge"), "code", "left_anti")
+    rest = costs.select("code", "cost").unionByName(unseen_costs(saved(fresh, "unseen"), levels, never))
+    more = grams.join(rest.hint("merge"), "code").groupBy("row").agg(F.sum(F.col("tf") * F.col("cost")).alias("more_score"))
+    c = F.coalesce("n", F.lit(0))
+    rare_words = found.filter("kind = 1").select("row", "code", "tf").join(tokens, "code", "left").groupBy("row").agg(F.sum(F.col("tf") * F.log10((c + 0.1) / F.lit(float(norm)))).alias("more"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("more_known"))
+    out = found.filter("kind is null").join(rare_words, "row", "left").join(more, "row", "left")
     return out.select(
         "doc_id",
         "held_out",
@@ -283,11 +364,11 @@ def lm_scores(docs: DataFrame, *, order: int = ORDER, max_contexts: int = MAX_CO
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )
 
 
-SCAN = "row long, word long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
+SCAN = "row long, kind int, code long, tf long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double"
 NAMES = [x.split(" ")[0] for x in SCAN.split(", ")]
 
 

@@ -220,6 +220,55 @@ def test_unigram_base_and_ppm_sum_to_one(spark, docs, frame):
         assert abs((10.0 ** trie.score(codes)).sum() - 1) < 1e-4
 
 
+def brute_force_ppm(train, text, order=ppm.ORDER):
+    seen = collections.defaultdict(collections.Counter)  # context -> symbols
+    as_bytes = lambda t: b"\xff" * order + (t or "").translate(ASCII_LOWER).encode() + b"\xff"
+    for t in map(as_bytes, train):
+        for i in range(order, len(t)):
+            for k in range(order + 1):
+                seen[t[i - k : i]][t[i]] += 1
+    score, data = 0.0, as_bytes(text)
+    for i in range(order, len(data)):
+        out = set()  # symbols of longer contexts
+        for k in range(order, -1, -1):
+            counts = {s: n for s, n in seen[data[i - k : i]].items() if s not in out}
+            if not counts:
+                continue
+            total = sum(counts.values())
+            if data[i] in counts:
+                score += np.log10((counts[data[i]] - 0.5) / total)
+                break
+            score += np.log10(len(counts) / 2 / total)
+            out |= set(counts)
+        else:
+            score -= np.log10(max(1, 256 - len(seen[b""])))
+    return score
+
+
+@pytest.mark.parametrize("cached", [0, 50, 1 << 20])
+def test_lm_scores_equal_brute_force_at_every_cache_size(spark, cached):
+    texts = [f"the {a} {b} of {c}" for a in ("quick", "lazy", "brown") for b in ("fox", "dog", "jumper") for c in ("yore", "old", "THE QUIZ")] + ["the the the the", "zq# \xe9\xff", "", None, "quack 7 foxes"]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, "no id"), (3, "the repeated")]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    train = [t for (_, t), h in zip(rows, held, strict=True) if not h]
+    assert any(held)
+    got = ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), frequent_grams=cached).collect()
+    want = sorted((str(i), brute_force_ppm(train, t)) for i, t in rows)
+    assert np.allclose([s for _, s in sorted((str(r["doc_id"]), r["score"]) for r in got)], [s for _, s in want], atol=1e-4)
+
+
+def test_lm_keeps_every_context(spark):
+    """More contexts of full length than a model of 65,536 per order can hold."""
+    import random
+
+    rng = random.Random(3)
+    train = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=400)) for _ in range(250)]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 10][:250]
+    docs = spark.createDataFrame(list(zip(ids, train, strict=True)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["score"] for r in ppm.lm_scores(docs).collect()}
+    assert all(abs(got[i] - brute) < 1e-2 for i, brute in zip(ids[:2], [brute_force_ppm(train, t) for t in train[:2]], strict=True))
+
+
 def test_lm_of_awkward_rows(spark, odd, empty):
     got = ppm.lm_scores(odd).collect()
     assert len(got) == len(ROWS) and all(r["score"] < 0 for r in got)
