@@ -40,7 +40,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as their rates say. Rates are 1 at least, so no clean document is lost and what is short is repeated."""
     labels = mixing.quality_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows, _ = mixing.mix(docs, labels, mixing.TARGETS, COLUMNS, low=1.0, high=4.0, budget=None)
+    rows, _ = mixing.mix(docs, labels, mixing.TARGETS, COLUMNS, low=1.0, budget=None)
     return mixing.sampled(rows, COLUMNS)
 
 

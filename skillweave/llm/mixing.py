@@ -21,6 +21,7 @@ table gives an empty result. Targets need not sum to 1; a domain that they don't
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ BUCKETS = 1 << 15
 SHARPNESS = 4.0
 STEPS = 40
 TOLERANCE = 1e-6
+#: Shares of tokens that miss their target by more are reported.
+MISS = 1e-3
 
 
 def bucket_counts(rows: DataFrame) -> DataFrame:
@@ -108,8 +111,9 @@ def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str]) -> Dat
     return rows.mapInArrow(scan, schema)
 
 
-def rate_column(steps: list[np.ndarray], low: float, high: float) -> Column:
+def rate_column(steps: list[np.ndarray], low: float, high: float | None) -> Column:
     """A document's rate after the steps so far: a fold over them, clipped to its bounds at each."""
+    high = float("inf") if high is None else high
     if not steps:
         return F.lit(min(max(1.0, low), high))
     table = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
@@ -117,11 +121,12 @@ def rate_column(steps: list[np.ndarray], low: float, high: float) -> Column:
     return F.aggregate(table, F.lit(min(max(1.0, low), high)), lambda r, s: F.greatest(F.lit(low), F.least(F.lit(high), r - dot(s))))
 
 
-def fit_rates(rows: DataFrame, target: np.ndarray, *, low: float, high: float, budget: float | None = None) -> tuple[Column, np.ndarray, float]:
+def fit_rates(rows: DataFrame, target: np.ndarray, *, low: float, high: float | None = None, budget: float | None = None) -> tuple[Column, np.ndarray, float]:
     """The rate of each row(mix_tokens, mix_p) as a column, the shares of domains that it reaches, and the token budget.
 
     budget: the total as a multiple of all tokens; by default the least that meets the targets when no domain
-    may fall below ``low`` times what it has.
+    may fall below ``low`` times what it has. Without ``high`` only the budget bounds the rates. Warns where the
+    shares that are reached miss the target by more than MISS.
     """
     k = len(target)
     part = lambda i: F.element_at("mix_p", i + 1)
@@ -148,10 +153,13 @@ def fit_rates(rows: DataFrame, target: np.ndarray, *, low: float, high: float, b
         if error < TOLERANCE:
             break
         steps.append(scale @ (now - goal))
-    return rate_column(steps[:best], low, high), reached / reached.sum(), budget
+    shares = reached / reached.sum()
+    if np.abs(shares - target).max() > MISS:
+        warnings.warn(f"the mix reaches shares {shares.round(6).tolist()} of the targets {target.round(6).tolist()}", stacklevel=2)
+    return rate_column(steps[:best], low, high), shares, budget
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str], *, low: float = 0.0, high: float = 8.0, budget: float | None = 1.0) -> tuple[DataFrame, dict[str, float]]:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str], *, low: float = 0.0, high: float | None = None, budget: float | None = 1.0) -> tuple[DataFrame, dict[str, float]]:
     """The columns ``keep`` with mix_tokens, mix_p and mix_rate of every row, and the shares that are reached."""
     model = learn_domains(docs, labelled)
     rows = saved(with_posteriors(docs, model, keep), "mix-posteriors")

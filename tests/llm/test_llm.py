@@ -323,6 +323,19 @@ def test_mixing_meets_its_targets(spark, odd, empty):
     assert mixing.mix(empty, none, {}, ["doc_id"])[0].count() == 0
 
 
+@pytest.mark.parametrize("options", [{"low": 1.0, "budget": None}, {"budget": 1.0}])
+def test_mixing_meets_targets_far_from_the_given_shares(spark, options):
+    n = 200
+    rows = [(i, "good fine prose about rivers " * 4 if i % 20 == 0 else "spam click buy cheap pills " * 4) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, f"quality={int(i % 20 == 0)}") for i in range(n)], "doc_id long, domain string")
+    got, reached = mixing.mix(docs, labels, mixing.TARGETS, ["doc_id"], **options)
+    assert all(abs(reached[d] - share) < 1e-3 for d, share in mixing.TARGETS.items())
+    assert got.agg(F.max("mix_rate")).first()[0] > 8
+    with pytest.warns(UserWarning, match="the mix reaches"):
+        mixing.mix(docs, labels, mixing.TARGETS, ["doc_id"], low=1.0, high=4.0, budget=None)
+
+
 def test_language_of_pages(spark, docs):
     rows = [(1, "http://a.example.com/en/1", '<html lang="en"><p>the of and with that</p>'), (2, "http://a.example.com/de/2", "<html><p>der die und nicht ist mit</p>"), (3, None, None), (4, "junk", ""), (4, "junk", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("lang", F.lit("x"))
