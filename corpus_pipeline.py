@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillweave.llm import decontaminate, mixing, ngramjoin, tokenbin, toxicity
-from skillweave.llm.common import fresh_path
+from skillweave.llm.common import fresh_path, saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,17 +24,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(docs, machine, COLUMNS).filter("predicted = 0").select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, row_key, written once: doc_id may be null or repeat."""
+    return saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), "pipeline-keyed")
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row_key").alias("doc_id"), "text")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of the Jaccard join, the row with the smallest doc_id; rows that repeat it stay with it."""
-    rows = ngramjoin.jaccard_components(docs).filter("not doc_id <=> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(rows, "doc_id", "left_anti")
+    """Of each component of the Jaccard join, one row: that with the smallest doc_id, null ids last."""
+    rows = keyed(docs)
+    placed = ngramjoin.jaccard_components(by_key(rows)).select(F.col("doc_id").alias("row_key"), "component_id").join(rows.select("row_key", F.col("doc_id").alias("id")), "row_key")
+    kept = placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("first")).select("first.row_key")
+    return rows.join(kept, "row_key", "left_semi").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without an occurrence of any benchmark window."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontaminate.decontaminate(docs, benchmark).filter("contaminated").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaks, "doc_id", "left_anti")
+    rows = keyed(docs)
+    leaks = decontaminate.decontaminate(by_key(rows), benchmark).filter("contaminated").select(F.col("doc_id").alias("row_key"))
+    return rows.join(leaks, "row_key", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

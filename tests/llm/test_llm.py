@@ -373,3 +373,19 @@ def test_pipeline_stages_equal_their_definitions(spark, duck):
     assert mixed.columns == cp.COLUMNS and {r["doc_id"] for r in mixed.select("doc_id").collect()} == set(frame.doc_id)
     out = cp.run(spark, DATA).toPandas()
     assert len(out) and set(out.doc_id) <= kept - leaks and out.start.is_unique
+
+
+def test_stages_decide_on_each_row_whatever_its_id(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    words_of = lambda p, n=60: " ".join(f"{p}{i}" for i in range(n))
+    leak = words_of("leak", 12)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    texts = lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
+    clean = words_of("clean", 20)
+    rows = make([(None, "x " + leak), (None, clean), (5, leak + " y"), (5, clean)])
+    assert texts(cp.drop_leaks(spark, rows, str(tmp_path))) == [("5", clean), ("None", clean)]
+    a, b, c = words_of("a"), words_of("b"), words_of("c")
+    rows = make([(1, a), (1, a), (None, a + " more"), (2, b), (3, b), (3, c), (None, "no ids " + c[::-1]), (None, "no ids " + c[::-1]), (4, "")])
+    assert texts(cp.drop_near_duplicates(spark, rows, str(tmp_path))) == sorted([("1", a), ("2", b), ("3", c), ("None", "no ids " + c[::-1]), ("4", "")])
