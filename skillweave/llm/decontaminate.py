@@ -14,7 +14,8 @@ fills up, it lets more through and the join decides.
 
 Defined results: null or empty text, or text without words, has no words and no hits; items without
 words are never found; rows that repeat (doc_id too) each get their own row; an empty benchmark hits
-nothing; other columns are ignored. item_ids are compared as strings.
+nothing; windows of items with null item_id count in n_hit and contaminated, but the null id not in n_items and
+the digest; other columns are ignored. item_ids are compared as strings.
 """
 
 from __future__ import annotations
@@ -83,14 +84,14 @@ def item_marks(items: DataFrame, window: int, k: int) -> DataFrame:
                 # a short item is one window of its own length, wherever it occurs
                 own = [" ".join(c.split(" ")[p : p + s]) if n[d] < window else c for c, p, s, d in zip(context, place, size, doc, strict=True)]
                 yield pa.RecordBatch.from_pydict({
-                    "item_id": [names[found.row + d] for d in doc],
+                    "item_id": pa.array([names[found.row + d] for d in doc], pa.string()),
                     "h": mix(hashes + size.astype(np.uint64)).view(np.int64),
                     "size": pa.array(np.where(n[doc] < window, size, 0), pa.int32()),
                     "context": own,
                     "at": pa.array(place, pa.int32()),
                 })
 
-    keyed = items.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    keyed = items.select(F.col("item_id").cast("string").alias("item_id"), "text")
     return keyed.mapInArrow(scan, MARKS)
 
 

@@ -389,3 +389,11 @@ def test_stages_decide_on_each_row_whatever_its_id(spark, tmp_path):
     a, b, c = words_of("a"), words_of("b"), words_of("c")
     rows = make([(1, a), (1, a), (None, a + " more"), (2, b), (3, b), (3, c), (None, "no ids " + c[::-1]), (None, "no ids " + c[::-1]), (4, "")])
     assert texts(cp.drop_near_duplicates(spark, rows, str(tmp_path))) == sorted([("1", a), ("2", b), ("3", c), ("None", "no ids " + c[::-1]), ("4", "")])
+
+
+def test_items_without_id_count_as_windows(spark):
+    text = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "so " + text), (2, "short thing"), (3, "clean " * 12)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), (None, "short thing"), (7, "short thing")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {1: (12, 0, True), 2: (2, 1, True), 3: (0, 0, False)}
