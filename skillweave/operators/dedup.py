@@ -36,7 +36,7 @@ def near_classes(classes: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def keep_earliest(rows: DataFrame, rounds: int = 30) -> DataFrame:
+def keep_earliest(rows: DataFrame) -> DataFrame:
     """Of rows(id, posting, simhash, observed_on) those that no kept earlier row is near to; rows of one posting never exclude each other.
 
     Earlier is by (observed_on, id). Each round keeps the rows without an undecided earlier neighbour and drops
@@ -52,14 +52,10 @@ def keep_earliest(rows: DataFrame, rounds: int = 30) -> DataFrame:
     edges = pairs.select(F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("early"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("late")).distinct()
     edges = checkpointed(edges)
     dropped = spark.createDataFrame([], rows.select("id").schema)
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
+    while not edges.isEmpty():  # each round decides the earliest row left at least
         heads = edges.select(F.col("early").alias("id")).distinct().join(edges.select(F.col("late").alias("id")).distinct(), "id", "left_anti")
         gone = edges.join(heads.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct()
         dropped = checkpointed(dropped.unionByName(gone))
         gone_early, gone_late = (gone.withColumnRenamed("id", c) for c in ("early", "late"))
         edges = checkpointed(edges.join(heads.withColumnRenamed("id", "early"), "early", "left_anti").join(gone_early, "early", "left_anti").join(gone_late, "late", "left_anti"))
-    else:
-        raise RuntimeError("the chain of neighbours is longer than the rounds allow")
     return rows.join(dropped, "id", "left_anti")

@@ -173,6 +173,15 @@ def test_keep_earliest_equals_one_pass(spark):
     assert {r["id"] for r in dedup.keep_earliest(df).collect()} == sequential(rows)
 
 
+def test_keep_earliest_follows_a_long_chain(spark):
+    rows, h = [], 0
+    for i in range(63):
+        rows.append((i, i, h - (1 << 64) if h >> 63 else h, D(2024, 1, 1)))
+        h ^= 3 << 2 * i % 64
+    df = spark.createDataFrame(rows, "id long, posting long, simhash long, observed_on date")
+    assert {r["id"] for r in dedup.keep_earliest(df).collect()} == set(range(0, 63, 2))
+
+
 def test_f1_of_empty_sets(spark):
     items = spark.createDataFrame([(1,), (2,), (3,)], "item long")
     pred = spark.createDataFrame([(2, "a"), (3, "a"), (3, "b")], "item long, element string")
