@@ -10,8 +10,10 @@ The model has every context and gram of every order and grows with the corpus: i
 never gathered. What a symbol costs follows from its gram of full length alone. The costs of the
 most frequent grams are a cache of bounded size that tasks look up; all other grams of a text, added up per text, join the
 costs by shuffle: those of grams that training texts have, and for the rest what the descent through
-the shorter contexts gives, one join an order. The cache's size changes no score. ``Trie`` is the same model within
-one process, of at most as many contexts as asked for; queries don't use it.
+the shorter contexts gives, one join an order. The cache's size changes no score.
+
+Counts travel packed: a task sends its sorted grams as one compressed row per bucket of their hashes, and the tasks
+that buckets are dealt to merge them one bucket at a time, so only distinct grams of the corpus become rows.
 
 The unigram base needs the count of every token of the corpus. The most frequent words, a table
 of bounded size, are looked up in the tasks; all others join the full count table by shuffle.
@@ -39,194 +41,140 @@ FREQUENT_GRAMS = 1 << 21
 FREQUENT_WORDS = 1 << 18
 END = 0xFF  # no byte of UTF-8
 END_TOKEN = np.array([0x5EED0F7E], np.int64)[0]
-#: Distinct grams or words that a task adds up before it hands them on.
-HELD = 1_000_000
+#: Grams that a task sorts at once, and distinct ones that it holds before it hands them on.
+CHUNK = 1 << 22
+HELD = 2_000_000
+#: Buckets of counts that are merged at once.
+BUCKET_BITS = 12
 
 
 def gram_codes(raw: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
     """For each byte of each text, lower-cased, and then its end: the ``order`` bytes before it, and itself. Ends fill up what lies before a text."""
     n_docs, lengths = len(offsets) - 1, np.diff(offsets)
-    data = np.full(len(raw) + n_docs * (order + 1) + order, END, np.uint8)
-    data[np.arange(len(raw)) + np.repeat(np.arange(n_docs) * (order + 1) + order, lengths)] = LOWER[raw]
-    code = np.zeros(len(data) - order, np.uint64)
-    for j in range(order + 1):
-        code = (code << np.uint64(8)) | data[j : len(data) - order + j]
-    at = np.ones(len(data) - order, bool)  # not the ends that fill up
-    for j in range(1, order + 1):
-        at[(offsets[1:] + np.arange(n_docs) * (order + 1) + j)] = False
-    return code[at[: len(code)]]
+    gap = order + 1
+    data = np.full(len(raw) + n_docs * gap + 8, END, np.uint8)
+    data[np.arange(len(raw)) + np.repeat(np.arange(n_docs) * gap + order, lengths)] = LOWER[raw]
+    # eight bytes from each byte on, as one number; a gram is the first of these
+    eight = np.ndarray(len(data) - 8, ">u8", data.data, strides=(1,))
+    at = np.ones(len(eight), bool)  # not the grams of ends that fill up
+    for j in range(order):
+        at[offsets[1:] + np.arange(n_docs) * gap + 1 + j] = False
+    return eight[at].astype(np.uint64) >> np.uint64(8 * (7 - order))
+
+
+def run_starts(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal sorted keys begins."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+
+
+def added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = run_starts(keys)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, small differences best: byte by byte place, so that what is mostly zero lies together."""
+    return pa.compress(np.diff(numbers, prepend=numbers.dtype.type(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel())
 
 
 class Tally:
-    """Adds up counts of 64-bit keys, within bounded memory."""
-
-    def __init__(self):
-        self.parts, self.size = [], 0
-
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
-        self.parts.append((keys, counts))
-        self.size += len(keys)
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([k for k, _ in self.parts])
-        counts = np.concatenate([c for _, c in self.parts])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-    def rows(self, kind: int, last: bool) -> Iterator[pa.RecordBatch]:
-        if not self.parts or not last and self.size < HELD:
-            return
-        keys, counts = self.merged()
-        self.parts, self.size = [(keys, counts)], len(keys)
-        if last or self.size > HELD // 2:
-            for a in range(0, len(keys), 200_000):
-                k, c = keys[a : a + 200_000], counts[a : a + 200_000]
-                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(k), kind), pa.int32()), "code": k.view(np.int64), "n": c.astype(np.int64)})
-            self.parts, self.size = [], 0
+    """Adds up how often 64-bit keys come, within bounded memory: CHUNK keys as they come, and about HELD with their counts."""
+
+    def __init__(self, kind: int, chunk: int):
+        self.kind, self.waiting, self.n = kind, np.empty(chunk, np.uint64), 0
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        while len(keys):
+            own = keys[: len(self.waiting) - self.n]
+            self.waiting[self.n : self.n + len(own)] = own
+            self.n += len(own)
+            keys = keys[len(own) :]
+            if self.n == len(self.waiting):
+                yield from self.settle()
+
+    def settle(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        """Counts what waits, and hands on what is held when it is too much."""
+        own = self.waiting[: self.n]
+        own.sort()
+        first = run_starts(own)
+        keys, counts = own[first], np.diff(np.append(first, len(own)))
+        self.n = 0
+        if len(self.keys):
+            keys, counts = added_up(np.append(self.keys, keys), np.append(self.counts, counts))
+        self.keys, self.counts = keys, counts
+        if len(keys) and (last or len(keys) > HELD):
+            self.keys, self.counts = self.keys[:0], self.counts[:0]
+            yield from self.rows(keys, counts)
+
+    def rows(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A packed row per bucket that has keys."""
+        bucket = (mix(keys) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        bucket, keys, counts = bucket[order], keys[order], counts[order]
+        first = run_starts(bucket)
+        cuts = list(zip(first, np.append(first[1:], len(keys)), strict=True))
+        for s in range(0, len(cuts), 256):
+            part = cuts[s : s + 256]
+            yield pa.RecordBatch.from_pydict({
+                "kind": pa.array([self.kind] * len(part), pa.int32()),
+                "bucket": pa.array([int(bucket[a]) for a, _ in part], pa.int32()),
+                "size": pa.array([b - a for a, b in part], pa.int32()),
+                "codes": pa.array([packed(keys[a:b]) for a, b in part], pa.binary()),
+                "counts": pa.array([packed(counts[a:b].view(np.uint64)) for a, b in part], pa.binary()),
+            })
 
 
 def corpus_counts(docs: DataFrame, order: int) -> DataFrame:
     """kind (0 gram, 1 word), code, n over docs(text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, tokens = Tally(), Tally()
+        grams, tokens, ends = Tally(0, CHUNK), Tally(1, CHUNK // 8), 0
         for batch in batches:
             column = batch.column("text")
             for _, raw, offsets in slices(column):
-                grams.add(gram_codes(raw, offsets, order))
-                yield from grams.rows(0, False)  # after each slice: a batch may hold many
+                yield from grams.add(gram_codes(raw, offsets, order))
             for found in words(column, SPACED):
-                tokens.add(found.hashes)
-                yield from tokens.rows(1, False)
-            tokens.add(np.array([END_TOKEN]).view(np.uint64), np.array([batch.num_rows]))
-        yield from grams.rows(0, True)
-        yield from tokens.rows(1, True)
-
-    parts = docs.select("text").mapInArrow(scan, "kind int, code long, n long")
-    return parts.groupBy("kind", "code").agg(F.sum("n").alias("n"))
-
-
-class Lookup:
-    """Positions of 64-bit keys, sorted by a mixed hash with an index on its leading bits. ``order`` sorts other columns alike."""
-
-    def __init__(self, keys: np.ndarray):
-        h = mix(keys)
-        self.order = np.argsort(h)
-        self.h = h[self.order]
-        bits = max(4, int(len(keys)).bit_length())
-        self.shift = np.uint64(64 - bits)
-        self.starts = np.searchsorted(self.h >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
-        self.most = int(np.diff(self.starts).max()) if len(keys) else 0
-        self.h = np.append(self.h, np.zeros(self.most + 1, np.uint64))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The position of each key, -1 where it is none."""
-        h = mix(keys)
-        top = (h >> self.shift).astype(np.int64)
-        at, end = self.starts[top], self.starts[top + 1]
-        out = np.where((at < end) & (self.h[at] == h), at, -1)
-        left = np.flatnonzero((out < 0) & (at + 1 < end))
-        for step in range(1, self.most):
-            place = at[left] + step
-            hit = (place < end[left]) & (self.h[place] == h[left])
-            out[left[hit]] = place[hit]
-            left = left[~hit & (place + 1 < end[left])]
-            if not len(left):
-                break
-        return out
-
-
-class Level:
-    """The contexts of one length, with what an escape from them costs, and their grams."""
-
-    def __init__(self, k: int, codes: np.ndarray, counts: np.ndarray, below: Level | None):
-        log = lambda x: np.log10(np.maximum(x, 1e-300)).astype(np.float32)
-        self.grams = Lookup(codes)
-        codes, counts = codes[self.grams.order], counts[self.grams.order].astype(np.float32)
-        contexts, row, kinds = np.unique(codes >> np.uint64(8), return_inverse=True, return_counts=True)
-        self.contexts = Lookup(contexts)
-        total, place = np.bincount(row, counts, len(contexts)), self.contexts.order
-        self.counts, self.total, self.kinds = counts, total[place].astype(np.float32), kinds[place].astype(np.int32)
-        self.logp = log((counts - 0.5) / total[row])
-        self.escape = log(self.kinds / 2 / self.total)
-        if below is not None:
-            # the suffix without the symbols that are seen here
-            low = below.counts[below.grams.find(codes & np.uint64((1 << 8 * k) - 1))]
-            up = below.contexts.find(contexts & np.uint64((1 << 8 * (k - 1)) - 1))
-            rest = below.total[up] - np.bincount(row, low, len(contexts))
-            more = below.kinds[up] - kinds
-            norm = np.maximum(rest, 1)
-            self.norm = log(norm)[place]
-            self.again = np.where(more > 0, log(more / 2 / norm), 0).astype(np.float32)[place]
-        self.grams.order = self.contexts.order = None
-
-    def log_count(self, gram: np.ndarray) -> np.ndarray:
-        return np.log10(self.counts[gram] - 0.5)
-
-
-class Trie:
-    """Contexts of 0 to ``order`` bytes, compiled."""
-
-    def __init__(self, levels: list[Level], symbols: int):
-        self.order, self.levels = len(levels) - 1, levels
-        self.never = -np.log10(max(1, 256 - symbols))
-
-    def score(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol given the bytes before it; code has ``order`` of these and the symbol."""
-        out = np.zeros(len(code), np.float64)
-        left = np.arange(len(code))
-        above = np.full(len(code), -1, np.int64)  # the longer context that was escaped from
-        for k in range(self.order, -1, -1):
-            level = self.levels[k]
-            own = code[left] & np.uint64((1 << 8 * (k + 1)) - 1) if k < 7 else code[left]
-            gram = level.grams.find(own)
-            fresh = above < 0
-            hit = gram >= 0
-            now = hit & fresh
-            out[left[now]] = level.logp[gram[now]]
-            now = hit & ~fresh
-            if now.any():
-                out[left[now]] += level.log_count(gram[now]) - self.levels[k + 1].norm[above[now]]
-            now = ~hit & ~fresh
-            if now.any():
-                out[left[now]] += self.levels[k + 1].again[above[now]]
-            left, own, fresh = left[~hit], own[~hit], fresh[~hit]
-            above = level.contexts.find(own >> np.uint64(8))
-            now = fresh & (above >= 0)
-            out[left[now]] += level.escape[above[now]]
-        out[left] += self.never
-        return out
-
-
-def build_trie(counts: DataFrame, order: int, max_contexts: int) -> Trie:
-    """The trie of the max_contexts most frequent contexts of each order; the driver gets those rows alone."""
-    grams = counts.filter("kind = 0").select("code", "n")
-    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1 if k < 7 else -1).alias("code")) for k in range(order + 1)])).alias("g")
-    every = grams.select(orders, "n").groupBy("g.k", "g.code").agg(F.sum("n").alias("n"))
-    every = saved(every, "grams", ["k"])  # one folder per order: each is read alone below
-    contexts = every.groupBy("k", F.shiftrightunsigned("code", 8).alias("context")).agg(F.sum("n").alias("total"))
-    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("total"), "context"))
-    kept = contexts.withColumn("rank", rank).filter(F.col("rank") <= max_contexts).select("k", "context")
-    kept = saved(kept, "contexts")
-    levels: list[Level] = []
-    allowed, symbols = None, 0
-    for k in range(order + 1):
-        # one order at a time: at most max_contexts contexts of 256 symbols each
-        rows = every.filter(F.col("k") == k).select("code", "n", F.shiftrightunsigned("code", 8).alias("context")).join(kept.filter(F.col("k") == k).select("context"), "context").select("code", "n").toArrow()
-        codes, n = (rows.column(c).to_numpy() for c in ("code", "n"))
-        codes = codes.astype(np.int64).view(np.uint64)
-        if k:  # a context needs its suffix
-            keep = np.isin((codes >> np.uint64(8)) & np.uint64((1 << 8 * (k - 1)) - 1), allowed)
-            codes, n = codes[keep], n[keep]
-        else:
-            symbols = len(codes)
-        allowed = np.unique(codes >> np.uint64(8))
-        levels.append(Level(k, codes, n, levels[-1] if levels else None))
-    return Trie(levels, symbols)
+                yield from tokens.add(found.hashes)
+            ends += batch.num_rows
+        yield from grams.settle(True)
+        yield from tokens.settle(True)
+        if ends:
+            yield from tokens.rows(np.array([END_TOKEN]).view(np.uint64), np.array([ends]))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, keys, counts, held = None, [], [], 0
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            if keys:
+                k, c = added_up(np.concatenate(keys), np.concatenate(counts))
+                for a in range(0, len(k), 100_000):
+                    n = len(k[a : a + 100_000])
+                    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(n, at[0]), pa.int32()), "code": k[a : a + 100_000].view(np.int64), "n": c[a : a + 100_000]})
+
+        for batch in batches:
+            for kind, bucket, size, k, c in zip(*(batch.column(x).to_pylist() for x in ("kind", "bucket", "size", "codes", "counts")), strict=True):
+                if (kind, bucket) != at:
+                    yield from whole()
+                    at, keys, counts, held = (kind, bucket), [], [], 0
+                keys.append(unpacked(k, size))
+                counts.append(unpacked(c, size).view(np.int64))
+                held += size
+                if held > CHUNK:
+                    one = added_up(np.concatenate(keys), np.concatenate(counts))
+                    keys, counts, held = [one[0]], [one[1]], len(one[0]) // 2
+        yield from whole()
+
+    parts = docs.select("text").mapInArrow(scan, "kind int, bucket int, size int, codes binary, counts binary")
+    return parts.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(merge, "kind int, code long, n long")
 
 
 def gram_levels(counts: DataFrame, order: int) -> list[DataFrame]:
@@ -251,10 +199,14 @@ def unseen_costs(codes: DataFrame, levels: list[DataFrame], never: float) -> Dat
     symbol = F.col("code").bitwiseAND(255).cast("int")
     for k in range(len(levels) - 1, -1, -1):
         entries = F.map_from_entries(F.collect_list(F.struct(symbol.alias("symbol"), "n")))  # 256 at most
-        own = levels[k].groupBy(F.shiftrightunsigned("code", 8).alias("context")).agg(F.sum("n").alias("total"), entries.alias("counts"))
+        context = F.shiftrightunsigned("code", 8).bitwiseAND((1 << 8 * k) - 1)
+        own = levels[k].withColumn("context", F.shiftrightunsigned("code", 8))
+        if k > 1:  # the contexts that are asked for
+            own = own.join(codes.select(context.alias("context")).distinct().hint("merge"), "context", "left_semi")
+        own = own.groupBy("context").agg(F.sum("n").alias("total"), entries.alias("counts"))
         # up to order 1 there are 256 contexts at most; longer ones are never broadcast: one plan at every size
         own = F.broadcast(own) if k < 2 else own.hint("merge")
-        rows = out.withColumn("context", F.shiftrightunsigned("code", 8).bitwiseAND((1 << 8 * k) - 1)).join(own, "context", "left")
+        rows = out.withColumn("context", context).join(own, "context", "left")
         n, kinds, fresh = F.try_element_at("counts", symbol), F.size("counts"), F.col("seen").isNull()
         low = F.aggregate("seen", F.lit(0).cast("long"), lambda t, x: t + F.coalesce(F.try_element_at("counts", x), F.lit(0).cast("long")))
         rest = F.when(fresh, F.col("total")).otherwise(F.greatest(F.col("total") - low, F.lit(1)))
@@ -282,16 +234,18 @@ def most_frequent(rows: DataFrame, value: str, most: int) -> tuple[np.ndarray, n
     return top.column("code").to_numpy(), top.column(value).to_numpy()
 
 
-def pairs(row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each distinct (row, code) and how often it comes."""
-    order = np.lexsort((code, row))
-    row, code = row[order], code[order]
-    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (code[1:] != code[:-1]))[: len(row)])
-    return row[first], code[first], np.diff(np.append(first, len(row)))
+def places(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked key stands among sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
 
 
 def lm_scores(docs: DataFrame, *, order: int = ORDER, frequent_grams: int = FREQUENT_GRAMS, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of docs(doc_id, text)."""
+    if not 0 < order < 7:
+        raise ValueError("a gram of at most 7 bytes is one number beside its document")
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
     rows = docs.select("doc_id", "text", held.alias("held_out"))
@@ -306,14 +260,13 @@ def lm_scores(docs: DataFrame, *, order: int = ORDER, frequent_grams: int = FREQ
     never = float(-np.log10(max(1, 256 - levels[0].count())))
     costs = saved(seen_costs(levels[-1]), "gram-costs")
     codes, cost = most_frequent(costs, "cost", frequent_grams)
-    lookup = Lookup(codes.view(np.uint64))
-    cost, lookup.order = np.append(cost[lookup.order], 0).astype(np.float32), None
-    shared = spark.sparkContext.broadcast((lookup, cost, frequent, often))
-    del codes, lookup, cost, frequent, often
+    by_code = np.argsort(codes)
+    codes, cost = codes[by_code], cost[by_code].astype(np.float32)
+    shared = spark.sparkContext.broadcast((codes, cost, frequent, often))
+    del codes, cost, by_code, frequent, often
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, cost, frequent, often = shared.value
-        often = np.append(often, 0)
+        codes, cost, frequent, often = shared.value
         row = TaskContext.get().partitionId() << 40
 
         def rare(kind: int, rr: np.ndarray, rc: np.ndarray, tf: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -325,27 +278,34 @@ def lm_scores(docs: DataFrame, *, order: int = ORDER, frequent_grams: int = FREQ
         for batch in batches:
             column, n = batch.column("text"), batch.num_rows
             score, size, known, base = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-            for first, raw, offsets in slices(column):
-                lengths = np.diff(offsets) + 1
-                code = gram_codes(raw, offsets, order)
-                at = lookup.find(code) if len(lookup.h) > 1 else np.full(len(code), -1)
-                score[first : first + len(lengths)] = np.add.reduceat(cost[at], np.cumsum(lengths) - lengths, dtype=np.float64)  # the last cost, of what isn't found, is 0
-                left = np.flatnonzero(at < 0)
-                if len(left):
-                    yield from rare(0, *pairs(row + first + np.repeat(np.arange(len(lengths)), lengths)[left], code[left].view(np.int64)))
+            for first, raw, offsets in slices(column, 256):
+                doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint64), np.diff(offsets) + 1)
+                both = gram_codes(raw, offsets, order) << np.uint64(8) | doc  # a gram has 56 bits, its document among 256 the rest
+                both.sort()
+                starts = run_starts(both)
+                tf = np.diff(np.append(starts, len(both)))
+                both = both[starts]
+                code, doc = (both >> np.uint64(8)).view(np.int64), (both & np.uint64(255)).astype(np.int64)
+                runs = run_starts(code)
+                at, hit = (np.repeat(x, np.diff(np.append(runs, len(code)))) for x in places(codes, code[runs]))
+                score[first : first + len(offsets) - 1] = np.bincount(doc[hit], tf[hit] * cost[at[hit]], len(offsets) - 1)
+                if not hit.all():
+                    yield from rare(0, row + first + doc[~hit], code[~hit], tf[~hit])
             for found in words(column, SPACED):
                 h = np.insert(found.hashes.view(np.int64), found.first[1:], END_TOKEN)
-                ends = found.first + np.arange(len(found.first))
-                place = np.searchsorted(frequent, h)
-                hit = np.append(frequent, 0)[place] == h if len(frequent) else np.zeros(len(h), bool)
-                hit &= place < len(frequent)
-                c = np.where(hit, often[place], 0)
-                value = np.where(hit, np.log10((c + 0.1) / norm), 0)
+                doc = np.repeat(np.arange(len(found.counts)), found.counts + 1)
+                order_of = np.lexsort((doc, h))
+                h, doc = h[order_of], doc[order_of]
+                starts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)])
+                tf = np.diff(np.append(starts, len(h)))
+                h, doc = h[starts], doc[starts]
+                at, hit = places(frequent, h)
                 k = slice(found.row, found.row + len(found.counts))
-                base[k], known[k], size[k] = np.add.reduceat(value, ends[:-1]), np.add.reduceat(hit, ends[:-1], dtype=np.int64), np.diff(ends)
-                doc = np.repeat(np.arange(len(found.counts)), np.diff(ends))[~hit]
-                if len(doc):
-                    yield from rare(1, *pairs(row + found.row + doc, h[~hit]))
+                size[k] = found.counts + 1
+                known[k] = np.bincount(doc[hit], tf[hit], len(found.counts))
+                base[k] = np.bincount(doc[hit], tf[hit] * np.log10((often[at[hit]] + 0.1) / norm), len(found.counts))
+                if not hit.all():
+                    yield from rare(1, row + found.row + doc[~hit], h[~hit], tf[~hit])
             yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.int64()) for _ in range(2)), batch.column("doc_id"), batch.column("held_out"), pa.array(size), pa.array(known), pa.array(base), pa.array(score)], NAMES)
             row += n
 

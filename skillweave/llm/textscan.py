@@ -77,8 +77,8 @@ class Words:
         return self.data[self.start[a] : self.end[b - 1]].tobytes().decode("utf-8", "replace")
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets of the documents in them) of about SLICE bytes each; nulls are empty."""
+def slices(column: pa.Array, most: int = 1 << 62) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets of the documents in them) of about SLICE bytes each, of ``most`` documents at most; nulls are empty."""
     column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
@@ -87,7 +87,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     a = 0
     while a < len(column):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1)
+        b = min(a + most, max(a + 1, int(np.searchsorted(offsets, offsets[a] + SLICE, "right")) - 1))
         yield a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
 
