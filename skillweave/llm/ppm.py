@@ -42,8 +42,8 @@ FREQUENT_WORDS = 1 << 18
 END = 0xFF  # no byte of UTF-8
 END_TOKEN = np.array([0x5EED0F7E], np.int64)[0]
 #: Grams that a task sorts at once, and distinct ones that it holds before it hands them on.
-CHUNK = 1 << 22
-HELD = 2_000_000
+CHUNK = 1 << 21
+HELD = 1_000_000
 #: Buckets of counts that are merged at once.
 BUCKET_BITS = 12
 
