@@ -18,6 +18,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -76,15 +77,23 @@ class Encoder:
     """Ids of whole texts. A single space between two other characters always begins a new piece of a
     byte-level vocabulary, so texts are cut there and each distinct piece is encoded once per worker.
     A piece of letters, or of letters and then stops, goes to the model straight: these are the
-    pieces that the vocabulary's own splitting makes of it."""
+    pieces that the vocabulary's own splitting makes of it. Texts that hold an added token (an end mark, say)
+    are encoded whole, and so is every text where the vocabulary is of another kind."""
 
     STOPS = ".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        split = self.tokenizer.pre_tokenizer
+        self.cuts = isinstance(split, ByteLevel) and not split.add_prefix_space and split.use_regex and self.tokenizer.normalizer is None and isinstance(self.tokenizer.model, BPE)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.pieces: dict[str, bytes | None] = {}
         self.stops: dict[str, bytes] = {}
@@ -94,7 +103,7 @@ class Encoder:
         self.shown = {x: chr(256 + hidden.index(x)) if x in hidden else chr(x) for x in range(256)}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of letters alone, each after a space."""
@@ -123,13 +132,15 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
+        if not self.cuts:
+            return [np.frombuffer(x, np.uint32) for x in self._ids(texts)]
         cut = [t.split(" ") for t in texts]
         self._learn({p for parts in cut for p in parts[1:]}.difference(self.pieces))
         heads = self._ids([parts[0] for parts in cut])
         out = []
         for text, parts, head in zip(texts, cut, heads, strict=True):
             try:
-                if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()):
+                if len(parts) > 1 and (not parts[0] or parts[0][-1].isspace()) or self.added and self.added.search(text):
                     raise TypeError
                 data = head + b"".join(map(self.pieces.__getitem__, parts[1:]))
             except TypeError:

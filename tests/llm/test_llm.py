@@ -73,8 +73,10 @@ def test_bits_round_trip(width):
 
 
 def encoded(texts):
-    code = tokenbin.encoder(tokenbin.default_tokenizer())
-    return [np.array([*x.ids, 2], "<u4") for x in code.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokenbin.default_tokenizer())
+    return [np.array([*x.ids, 2], "<u4") for x in fresh.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def test_token_files_hold_every_id(spark, odd, tmp_path):
@@ -96,11 +98,20 @@ def test_random_access(spark, docs, frame, tmp_path):
 
 
 def test_encoder_cuts_change_nothing():
-    texts = ["", " ", " a", "a ", "a  b", "it's  don't we're", "a\n b", "a \nb", "x <|endoftext|> y", "café's, 12,3.4 x!!! ...", "日本語 テスト, ok. 　x", "'s 's a's", "wörd! wörd.,;", "é éx, ab", "\x1c a \x1f b"]
+    texts = ["", " ", " a", "a ", "a  b", "it's  don't we're", "a\n b", "a \nb", "x <|endoftext|> y", "x<|endoftext|>", "a <|endoftext|><|endoftext|>b c", "<|endoftext", "café's, 12,3.4 x!!! ...", "日本語 テスト, ok. 　x", "'s 's a's", "wörd! wörd.,;", "é éx, ab", "\x1c a \x1f b"]
     code = tokenbin.Encoder(tokenbin.default_tokenizer())
     assert [x.tolist() for x in code.encode(texts)] == [x.tolist()[:-1] for x in encoded(texts)]
 
 
+def test_encoder_of_another_kind_of_vocabulary(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    own.normalizer, own.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.Whitespace()
+    own.save(f"{tmp_path}/own.json")
+    assert [x.tolist() for x in tokenbin.Encoder(f"{tmp_path}/own.json").encode(["A b c", "", "b"])] == [[0, 1, 2], [], [1]]
+
+
 def test_warc_round_trip_and_determinism(spark, tmp_path):
     pages = [(1, "http://a.example/x", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "http://b.example/ z", None), (4, "u", ""), (5, "u5", "é" * 50_000), (5, "u5", "é" * 50_000), (None, "u", "<p>same</p>"), (9, "v", "alone")]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("kind", F.lit(5)).withColumn("digest", F.lit("x"))
