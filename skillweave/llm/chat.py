@@ -12,7 +12,7 @@ conversation in a window, and the blocks' own totals are few. A conversation is
 most BLOCK turns: nearly all have one, and no row grows without bound.
 
 Defined results: a null text is an empty one and a null role is "unknown"; turns with null conv_id belong to none and
-are left out; a null turn comes first; rows that repeat a turn are turns of their own; an empty table gives
+are left out; a null turn comes first; marks inside a text stay as they are; rows that repeat a turn are turns of their own; an empty table gives
 an empty result; other columns are ignored.
 """
 
@@ -28,7 +28,7 @@ OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """conv_id, block, pos, role, text and the hashes p, q of the prefix that ends with the turn."""
+    """conv_id, block, pos, n_turns, role, text and the hashes p, q of the prefix that ends with the turn."""
     rows = turns.filter("conv_id is not null").select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 40))).alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("block", F.floor(F.col("turn") / BLOCK))
     inside = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
@@ -36,7 +36,7 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     # positions before each block, from the blocks' sizes
     blocks = rows.groupBy("conv_id", "block").agg(F.count("*").alias("size"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("conv_id", "block", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    blocks = blocks.select("conv_id", "block", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy("conv_id")).alias("n_turns"))
     rows = rows.join(blocks, ["conv_id", "block"]).withColumn("pos", F.col("before") + F.col("place"))
     rows = rows.withColumn("p", F.xxhash64("pos", "role", "text")).withColumn("q", F.xxhash64("text", F.lit(7), "role", "pos"))
     totals = rows.groupBy("conv_id", "block").agg(F.bit_xor("p").alias("tp"), F.bit_xor("q").alias("tq"))
@@ -44,26 +44,20 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     totals = totals.select("conv_id", "block", F.coalesce(F.bit_xor("tp").over(earlier), zero).alias("bp"), F.coalesce(F.bit_xor("tq").over(earlier), zero).alias("bq"))
     running = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("p", F.bit_xor("p").over(running)).withColumn("q", F.bit_xor("q").over(running)).join(totals, ["conv_id", "block"])
-    return rows.select("conv_id", "block", "pos", "role", "text", F.col("p").bitwiseXOR(F.col("bp")).alias("p"), F.col("q").bitwiseXOR(F.col("bq")).alias("q"))
+    return rows.select("conv_id", "block", "pos", "n_turns", "role", "text", F.col("p").bitwiseXOR(F.col("bp")).alias("p"), F.col("q").bitwiseXOR(F.col("bq")).alias("q"))
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:
-    """conv_id, n_turns, copies of the conversations that stay."""
-    marks = prefixes.select("conv_id", "pos", "p", "q")
-    ends = marks.groupBy("conv_id").agg(F.max(F.struct("pos", "p", "q")).alias("end")).select("conv_id", "end.*")
-    same = ends.groupBy("pos", "p", "q").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
-    # prefixes that end before their conversation does: what occurs as a prefix more often than as an end
-    proper = marks.groupBy("pos", "p", "q").agg(F.count("*").alias("all"))
-    kept = same.join(proper, ["pos", "p", "q"]).filter(F.col("all") == F.col("copies"))
-    return kept.select("conv_id", F.col("pos").alias("n_turns"), "copies")
+    """conv_id, copies of the conversations that no longer one begins with; of equal ones that with the smallest id."""
+    same = prefixes.filter("pos = n_turns").groupBy("pos", "p", "q").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("copies"))
+    proper = prefixes.filter("pos < n_turns").select("pos", "p", "q").distinct()  # a first turn that many share is one row
+    return same.join(proper, ["pos", "p", "q"], "left_anti").select("conv_id", "copies")
 
 
 def collapse(turns: DataFrame) -> DataFrame:
-    """The turns (conv_id, block, pos, role, text, n_turns, copies) of maximal conversations."""
+    """The turns (conv_id, block, pos, n_turns, role, text, copies) of maximal conversations."""
     prefixes = saved(prefix_hashes(turns), "turn-prefixes")
-    kept = maximal(prefixes)
-    dropped = prefixes.select("conv_id").distinct().join(kept, "conv_id", "left_anti")
-    return prefixes.join(dropped, "conv_id", "left_anti").join(kept, "conv_id").drop("p", "q")
+    return prefixes.drop("p", "q").join(maximal(prefixes), "conv_id")
 
 
 def render(turns: DataFrame) -> DataFrame:

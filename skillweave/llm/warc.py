@@ -2,16 +2,17 @@
 
 The payload digest of each page decides the record types by a grouped aggregation: of equal payloads
 the largest page_id is the response and the others revisit it. Only (page_id, digest, target) rows join;
-those and the pages with their html then pass one range shuffle on (page_id, digest), in which a
-page's targets sort directly before its html, so each task writes its records as a stream. Files roll
+those and the pages with their html then pass one shuffle by ranges of page_id, sorted by (page_id, digest), in which a
+page's targets come directly before its html, so each task writes its records as a stream. The ranges
+follow from the summed bytes of the pages alone, not from a sample: a shard is a range. Files roll
 by compressed size; every record is a gzip member with regenerated HTTP and WARC headers and digests.
 
 Tasks write below a folder of temporary names, one per attempt. The manifest, committed by Spark's own
 writer, names the attempt that counts for each shard; only its files get their final names, in a job
 that can be repeated. What the manifest doesn't name is no part of the archive.
 
-Names, dates and record ids follow from the rows alone: the same rows over the same partitions give
-the same bytes.
+Shards, names, dates and record ids follow from the rows alone: the same rows, however they are
+partitioned, give the same bytes.
 
 Defined results: null html is an empty payload, a null url is ``urn:page:<page_id>``; a null page_id
 is never the largest unless all of its group are null, and then all of these are responses; rows
@@ -27,12 +28,13 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, n_partitions, saved
+from .common import fresh_path, saved
 from .files import open_store
 
 MANIFEST = "shard int, seq int, temporary string, path string, n_records long, n_bytes long, sha1 string"
@@ -114,11 +116,12 @@ class RollingFiles:
         self.sha1.update(data)
         self.size += len(data)
 
-    def close(self) -> None:
+    def close(self) -> list[tuple]:
         if self.sink is not None:
             self.sink.close()
             self.done.append((self.shard, len(self.done), f"{self.attempt}/{self.name}", f"{self.base}/{self.name}", self.n, self.size, self.sha1.hexdigest()))
             self.sink = None
+        return self.done
 
 
 def revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
@@ -131,31 +134,73 @@ def revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     return found.select("page_id", "digest", "refers_to", "refers_url").distinct()
 
 
-def write_warc(pages: DataFrame, out: str, *, roll_mb: int = 256, partition_mb: int = 64, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Writes pages(page_id, url, html) as WARC files below out; returns the manifest, a row per file."""
+def shard_starts(sizes: DataFrame, goal: int) -> list[int]:
+    """The smallest page_id of every shard but the first, for sizes(page_id, size) and about ``goal`` bytes a shard.
+
+    Bytes are summed by cells of 2**shift ids; cells that hold more than the goal are cut finer, each by what it holds, until
+    one id is left. The driver sees some 16 cells a shard.
+    """
+    rows = sizes.filter("page_id is not null").select("page_id", "size")
+    low, high, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
+    if low is None:
+        return []
+    finer = lambda held: max(0, (held // goal).bit_length() + 3)
+    shift = max(0, (high - low).bit_length() - finer(total))
+    cells, open_ = {}, rows.select("page_id", "size", F.lit(shift).alias("shift"))
+    while True:
+        found = open_.groupBy("shift", F.expr("shiftright(page_id, shift)").alias("cell")).agg(F.sum("size").alias("size")).collect()
+        cells.update(((r["cell"] << r["shift"]), r["size"]) for r in found)
+        heavy = [(r["shift"], r["cell"], max(0, r["shift"] - finer(r["size"]))) for r in found if r["size"] > goal and r["shift"]]
+        if not heavy:
+            break
+        for s, c, _ in heavy:
+            del cells[c << s]
+        table = sizes.sparkSession.createDataFrame(heavy, "shift int, cell long, next int")  # a row per shard's bytes at most
+        open_ = open_.withColumn("cell", F.expr("shiftright(page_id, shift)")).join(F.broadcast(table), ["shift", "cell"]).select("page_id", "size", F.col("next").alias("shift"))
+    starts, held = [], 0
+    for start, size in sorted(cells.items()):
+        if held and held + size > goal:
+            starts.append(start)
+            held = 0
+        held += size
+    return starts
+
+
+def write_warc(pages: DataFrame, out: str, *, roll_mb: float = 4, shard_mb: float = 32, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    """Writes pages(page_id, url, html) as WARC files below out; returns the manifest, a row per file. A shard has about shard_mb of html, a file of it about roll_mb compressed."""
     digest = F.unhex(F.sha1(F.coalesce("html", F.lit(""))))
     rows = pages.select("page_id", "url", "html", digest.alias("digest"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"))
     notes = revisits(pages, min_revisit_bytes).select("page_id", F.col("refers_url").alias("url"), F.lit(None).cast("string").alias("html"), "digest", F.lit(0).alias("kind"), "refers_to")
-    order = [F.col("page_id").asc_nulls_first(), F.col("digest").asc()]
-    both = rows.unionByName(notes).repartitionByRange(n_partitions(pages, "html", partition_mb), *order).sortWithinPartitions(*order, "kind", "url")
+    sizes = saved(pages.select(F.col("page_id").cast("long").alias("page_id"), (F.coalesce(F.octet_length("html"), F.lit(0)) + 512).cast("long").alias("size")), "warc-sizes")
+    starts = np.array(shard_starts(sizes, int(shard_mb * (1 << 20))), np.int64)
+    shared = pages.sparkSession.sparkContext.broadcast(starts)
+
+    def shard_of(ids: pa.Array) -> pa.Array:
+        return pa.array(np.where(ids.is_null(), 0, np.searchsorted(shared.value, np.array(ids.fill_null(0)), "right")), pa.int32())
+
+    both = rows.unionByName(notes).withColumn("shard", F.arrow_udf(shard_of, "int")(F.col("page_id").cast("long")))
+    both = both.repartitionById(len(starts) + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), F.col("digest").asc(), "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files = RollingFiles(out, TaskContext.get().partitionId(), roll_mb << 20, date)
+        files, done = None, []
         at, target = None, None
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 for row in batch.slice(a, 512).to_pylist():
                     key = (row["page_id"], row["digest"])
+                    if files is None or files.shard != row["shard"]:
+                        done += files.close() if files else []
+                        files = RollingFiles(out, row["shard"], int(roll_mb * (1 << 20)), date)
                     if key != at:
                         at, target = key, None
                     if row["kind"] == 0:
                         target = (row["refers_to"], row["url"])
                     else:
                         files.add(page_record(row["page_id"], row["url"], (row["html"] or "").encode(), target, date))
-        files.close()
-        if files.done:
+        done += files.close() if files else []
+        if done:
             types = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*files.done, strict=True), types, strict=True)]
+            columns = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "seq", "temporary", "path", "n_records", "n_bytes", "sha1"])
 
     manifest = saved(both.mapInArrow(write, MANIFEST), "warc-manifest")

@@ -124,6 +124,27 @@ def test_warc_round_trip_and_determinism(spark, tmp_path):
     assert warc.read_warc(warc.write_warc(df.limit(0), f"file://{tmp_path}/none")).count() == 0
 
 
+def test_warc_bytes_follow_from_the_rows_alone(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    body = lambda n: "".join(rng.choices("abcdefghijklmnop <>", k=n))
+    ids = [*range(200), *(10**15 + 7 * k for k in range(60)), -5, None]
+    pages = [(i, f"http://h{i}/", body(rng.choice([10, 3000, 9000])) if k % 5 else "same") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    first, second = (warc.write_warc(df.repartition(n), f"file://{tmp_path}/{n}", roll_mb=1 / 128, shard_mb=1 / 16).collect() for n in (2, 5))
+    assert sorted((r["shard"], r["seq"], r["n_records"], r["sha1"]) for r in first) == sorted((r["shard"], r["seq"], r["n_records"], r["sha1"]) for r in second)
+    assert len({r["shard"] for r in first}) > 5 and max(r["seq"] for r in first) > 1
+    assert sum(r["n_records"] for r in first) == len(pages)
+
+
+def test_shards_hold_about_the_goal_wherever_ids_lie(spark):
+    sizes = [(k, 10) for k in range(1000)] + [(2**62 + k, 10) for k in range(1000)] + [(-(2**62), 10), (7, 5000)]
+    starts = warc.shard_starts(spark.createDataFrame(sizes, "page_id long, size long"), 500)
+    held = np.bincount(np.searchsorted(np.array(starts), [i for i, _ in sizes], "right"), [n for _, n in sizes])
+    assert sorted(held)[-1] <= 5500 and sorted(held)[-2] <= 500 and len(held) < 100
+
+
 def brute_force_hits(texts, items):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(ASCII_LOWER))
     windows = collections.defaultdict(set)
