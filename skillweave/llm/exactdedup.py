@@ -1,14 +1,17 @@
 """Exact deduplication over a log-structured merge index, in DataFrame operations alone.
 
-``flush`` turns each memtable (a slice of the rows, set by a hash of doc_id) into one run: a Parquet
-folder with one row per text digest, sorted by digest, with Parquet Bloom filters on it. ``compact``
-merges runs, ``fan_in`` at a time and level by level, until one remains; a merged row keeps the smallest and
-the largest identifier and the sum of the counts. ``probe`` joins rows with the compacted run; rows
-whose digest occurs more than once are hits, and each hit's bytes are compared with those of the
+``flush`` turns each memtable (MEMTABLE_ROWS rows or less, set by a hash of doc_id) into one run: a Parquet
+folder with one row per text digest, sorted by digest. ``compact`` merges runs, ``fan_in`` at a time and
+level by level, until one remains; a merged row keeps the smallest and
+the largest identifier and the sum of the counts. Digests that occur more than once are hits; the index
+has a filter of them, a bit per hash in at most FILTER_BITS bits, which is broadcast as rows of 64 bits. A ``probe``
+tests each row against the filter in place, so texts that are alone never move; what passes joins the hits by
+shuffle, and each hit's bytes are compared with those of the
 digest's representative; a difference (two texts with one SHA-256 digest) stops the job.
 
 Aggregations combine before they shuffle. The representative's text is dealt to as many salts as the
-group's size asks for, so no task gets more than SALT_ROWS rows of one group, however hot.
+group's size asks for, so no task gets more than SALT_ROWS rows of one group, however hot. A full
+filter lets more rows through and changes no result.
 
 Defined results: a null text is an empty one; a null doc_id is the smallest; rows that repeat the kept
 doc_id all count as kept; an empty table gives an empty result; other columns are ignored.
@@ -16,12 +19,14 @@ doc_id all count as kept; an empty table gives an empty result; other columns ar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, lower_ascii, saved
 
 SALT_ROWS = 20_000
+MEMTABLE_ROWS = 4_000_000
+FILTER_BITS = 1 << 24
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -35,25 +40,21 @@ class DigestIndex:
     def __init__(self, spark, path: str, fan_in: int = 4):
         self.spark, self.path, self.fan_in, self.runs = spark, path, fan_in, []
 
-    @staticmethod
-    def _filtered(rows: DataFrame):
-        """A writer whose files have Bloom filters as large as their digests need, not of the full default size."""
-        return rows.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
-
     def _write(self, rows: DataFrame, name: str) -> str:
         at = f"{self.path}/{name}"
-        self._filtered(rows.sortWithinPartitions("digest")).parquet(at)
+        rows.sortWithinPartitions("digest").write.parquet(at)
         return at
 
-    def flush(self, rows: DataFrame, memtables: int = 4) -> None:
-        """Adds rows(doc_id, digest) as ``memtables`` sorted runs, in one job over the rows."""
+    def flush(self, rows: DataFrame, memtables: int | None = None) -> None:
+        """Adds rows(doc_id, digest) as sorted runs of at most about MEMTABLE_ROWS rows each, in one job over the rows."""
+        memtables = memtables or -(-max(1, rows.count()) // MEMTABLE_ROWS)
         name = f"l0-{len(self.runs)}"
         runs = (
             rows.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(memtables)).alias("memtable"), "digest")
             .agg(F.min("doc_id").alias("min_id"), F.max("doc_id").alias("max_id"), F.count("*").alias("n"))
             .sortWithinPartitions("memtable", "digest")
         )
-        self._filtered(runs).partitionBy("memtable").parquet(f"{self.path}/{name}")
+        runs.write.partitionBy("memtable").parquet(f"{self.path}/{name}")
         self.runs += [f"{self.path}/{name}/memtable={k}" for k in range(memtables)]
         self.schema = runs.drop("memtable").schema
 
@@ -78,19 +79,42 @@ class DigestIndex:
         return self.read(self.runs)
 
 
-def exact_dedup(docs: DataFrame, *, keep: str = "max", memtables: int = 4) -> DataFrame:
+def bit_of(digest: str) -> tuple[Column, Column]:
+    """The word of the filter and the bit in it that a digest sets."""
+    place = f"pmod(xxhash64({digest}), {FILTER_BITS})"
+    return F.expr(f"cast(shiftright({place}, 6) as int)"), F.expr(f"shiftleft(1L, cast({place} & 63 as int))")
+
+
+def filter_of(hits: DataFrame) -> DataFrame:
+    """word, bits: a row per 64 bits that are not all 0, FILTER_BITS / 64 rows at most."""
+    word, bit = bit_of("digest")
+    return hits.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def marked(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows with ``maybe``: false only where the filter shows that the digest is no hit."""
+    word, bit = bit_of("digest")
+    return rows.join(F.broadcast(known), word == F.col("word"), "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("word", "bits")
+
+
+def exact_dedup(docs: DataFrame, *, keep: str = "max", memtables: int | None = None) -> DataFrame:
     """One row per row of documents(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
     rows = keyed(docs)
+    digests = saved(rows.select("doc_id", "digest"), "digests")
     index = DigestIndex(spark, fresh_path(spark, "digest-index"))
-    index.flush(rows.select("doc_id", "digest"), memtables)
+    index.flush(digests, memtables)
     merged = index.compact()
     chosen = F.col("max_id" if keep == "max" else "min_id")
     hits = merged.filter("n > 1").select("digest", chosen.alias("keep_id"), F.col("n").alias("group_size"), F.greatest(F.lit(1), F.ceil(F.col("n") / SALT_ROWS)).cast("int").alias("salts"))
-
-    # narrow: rows that are alone; wide: rows of groups with their text
-    alone = rows.select("doc_id", "digest").join(hits, "digest", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
-    found = saved(rows.join(hits, "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")), "digest-hits")
+    known = saved(filter_of(hits), "digest-filter")
+
+    # rows that are alone need no text: most leave by the filter, the rest by the anti-join; hits move with their text
+    narrow = marked(digests, known)
+    single = lambda df: df.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
+    alone = single(narrow.filter("not maybe")).unionByName(single(narrow.filter("maybe").join(hits, "digest", "left_anti")))
+    wide = marked(rows, known).filter("maybe").drop("maybe")
+    found = saved(wide.join(hits, "digest").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")), "digest-hits")
     heads = (
         found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
         .groupBy("digest")

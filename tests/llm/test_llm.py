@@ -225,6 +225,14 @@ def test_exact_dedup_of_awkward_rows(spark, odd, empty):
     assert exactdedup.exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_a_full_filter_changes_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(exactdedup, "FILTER_BITS", bits)
+    df = spark.createDataFrame([(i, f"Text {i % 90}" if i < 120 else f"alone {i}", None) for i in range(300)], SCHEMA)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exactdedup.exact_dedup(df, memtables=3).collect()}
+    assert got == {i: ((i + 90 if i < 30 else i), 2 if i < 30 or 90 <= i < 120 else 1) for i in range(300)}
+
+
 def test_index_takes_more_runs(spark, tmp_path):
     rows = exactdedup.keyed(spark.createDataFrame([(i, f"t{i % 7}", None) for i in range(50)], SCHEMA)).select("doc_id", "digest")
     index = exactdedup.DigestIndex(spark, f"file://{tmp_path}/i", fan_in=2)
