@@ -42,7 +42,7 @@ LENGTH = 24
 #: Least log-likelihood ratio of a unit that tells the labels apart: chance 1 in 10,000 without any difference.
 SIGNIFICANT = 15.14
 #: Distinct tokens, and bytes of them, that a worker remembers before it starts anew.
-CACHE_TOKENS, CACHE_BYTES = 200_000, 8 << 20
+CACHE_TOKENS, CACHE_BYTES = 400_000, 16 << 20
 
 SPLIT_LETTERS = re.compile(r"(?<!\S)[^\W\d_](?:[\s.\-_*]{1,3}[^\W\d_]){2,}(?!\S)")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -258,8 +258,8 @@ def toxicity_scores(docs: DataFrame, machine: Machine, keep: list[str]) -> DataF
         scanner = Scanner(m.marks) if m.marks else None
         for column in columns:
             margin = np.zeros(len(column))
-            for a in range(0, len(column) if scanner else 0, 250):
-                margin[a : a + 250] = m.margin(scanner.rows(column.slice(a, 250).to_pylist()))
+            for a in range(0, len(column) if scanner else 0, 500):
+                margin[a : a + 500] = m.margin(scanner.rows(column.slice(a, 500).to_pylist()))
             yield pa.array(m.probability(margin))
 
     score = F.arrow_udf(scores, "double").asNondeterministic()  # once per row, whatever is filtered later
