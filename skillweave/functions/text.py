@@ -116,11 +116,6 @@ def simhash_tokens(c: Column) -> Column:
     return F.concat(F.transform(F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9]+)"), F.lit(1)), lambda t: F.lower(t)), pairs)
 
 
-def token_bits(token: Column) -> Column:
-    """The first 64 bits of the token's MD5 digest, as a signed number."""
-    return F.conv(F.substring(F.md5(token), 1, 16), 16, -10).cast("long")
-
-
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

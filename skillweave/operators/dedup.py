@@ -1,61 +1,93 @@
 """Near-duplicate postings by 64-bit simhash, and the rule which of them stays.
 
-Postings with one hash are one class, so copies make no pairs. Two hashes within three bits agree in one of four
-16-bit bands at least, so classes join on (band, value) and the distance is checked on each pair.
+Postings with one hash are one class, so copies make no pairs. A hash is cut into six blocks; two hashes within three
+bits agree in three of them at least, so classes join on (three blocks, their bits), some 32 bits of a key, and the distance is
+checked on each pair.
 """
 
 from __future__ import annotations
 
+import hashlib
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import hamming, simhash_tokens, token_bits
-from ..sources.shared import checkpointed
+from ..functions.text import hamming, simhash_tokens
+from ..sources.shared import saved
 
 DISTANCE = 3
+WIDTHS = (11, 11, 11, 11, 10, 10)
+
+
+def token_votes(tokens: pa.Array) -> pa.Array:
+    """Per row of token lists the 64 signs of the votes of the first 64 bits of the tokens' MD5 digests."""
+    out = np.zeros(len(tokens), np.uint64)
+    for a in range(0, len(tokens), 500):
+        part = tokens.slice(a, 500)
+        coded = part.flatten().dictionary_encode()
+        bits = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest()[:8] for t in coded.dictionary.to_pylist()), np.uint8).reshape(-1, 8)
+        votes = np.unpackbits(bits, axis=1).astype(np.int8) * 2 - 1
+        n = np.array(part.value_lengths().fill_null(0))
+        filled = np.flatnonzero(n)
+        if not len(filled):
+            continue
+        sums = np.add.reduceat(votes[np.array(coded.indices)], (np.cumsum(n) - n)[filled], axis=0, dtype=np.int32)
+        out[a + filled] = np.packbits(sums > 0, axis=1).view(">u8").ravel()
+    return pa.array(out.view(np.int64))
 
 
 def simhash(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key and simhash: per bit the sign of the tokens' votes; 0 without tokens. Sums combine before the shuffle."""
-    tokens = rows.select(key, F.explode(simhash_tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n")).withColumn("bits", token_bits(F.col("token")))
-    vote = lambda k: F.sum(F.when(F.shiftrightunsigned("bits", k).bitwiseAND(1) == 1, F.col("n")).otherwise(-F.col("n")))
-    sums = tokens.groupBy(key).agg(*[vote(k).alias(f"b{k}") for k in range(64)])
-    value = F.lit(0).cast("long")
-    for k in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{k}") > 0, F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    hashed = sums.select(key, value.alias("simhash"))
-    return rows.select(key).join(hashed, key, "left").select(key, F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
+    """key and simhash of each row: per bit the sign of its tokens' votes; 0 without tokens. Row by row, so nothing is shuffled."""
+    return rows.select(key, F.arrow_udf(token_votes, "long")(simhash_tokens(F.col(text))).alias("simhash"))
 
 
 def near_classes(classes: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of distinct hashes at most DISTANCE bits apart."""
-    band = lambda k: F.shiftrightunsigned("simhash", 16 * k).bitwiseAND(0xFFFF)
-    keys = classes.select("simhash", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), band(k).alias("value")) for k in range(4)])).alias("key")).select("simhash", "key.*")
+    ends = np.cumsum(WIDTHS)
+    blocks = [((1 << w) - 1) << int(e - w) for w, e in zip(WIDTHS, ends, strict=True)]
+    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
+    masks = [signed(sum(c)) for c in combinations(blocks, 3)]
+    key = F.explode(F.array(*[F.struct(F.lit(k).alias("blocks"), F.col("simhash").bitwiseAND(m).alias("bits")) for k, m in enumerate(masks)]))
+    keys = classes.select("simhash", key.alias("key")).select("simhash", "key.*")
     other = keys.withColumnRenamed("simhash", "b")
-    pairs = keys.withColumnRenamed("simhash", "a").join(other, ["band", "value"]).filter("a < b").filter(hamming(F.col("a"), F.col("b")) <= DISTANCE)
+    pairs = keys.withColumnRenamed("simhash", "a").join(other, ["blocks", "bits"]).filter("a < b").filter(hamming(F.col("a"), F.col("b")) <= DISTANCE)
     return pairs.select("a", "b").distinct()
 
 
 def keep_earliest(rows: DataFrame) -> DataFrame:
     """Of rows(id, posting, simhash, observed_on) those that no kept earlier row is near to; rows of one posting never exclude each other.
 
-    Earlier is by (observed_on, id). Each round keeps the rows without an undecided earlier neighbour and drops
-    the neighbours of kept ones: the same result as one pass in order.
+    Earlier is by (observed_on, id). The kept rows of a class (one hash) are all of one posting, and the first of them drops
+    whatever a later one would; and of a class's rows of one posting the first stands for all. So one row per class and posting is looked at, and pairs
+    are of near classes alone: a class's head is its first row not dropped yet; a head earlier than those of all near
+    undecided classes is kept; where a kept head of posting p drops a near class's head, that class's first row of p is the only one that can follow.
+    The result is that of one pass in order; rounds go on until no class is undecided.
     """
     spark = rows.sparkSession
-    order = lambda s: F.struct(f"observed_on_{s}", f"id_{s}")
-    near = near_classes(rows.select("simhash").distinct())
-    near = near.unionByName(rows.select(F.col("simhash").alias("a"), F.col("simhash").alias("b")).distinct())
-    a, b = (rows.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "posting", "observed_on")], F.col("simhash").alias(s)) for s in "ab")
-    pairs = near.join(a, "a").join(b, "b").filter("id_a <> id_b and posting_a <> posting_b")
-    first = order("a") < order("b")
-    edges = pairs.select(F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("early"), F.when(first, F.col("id_b")).otherwise(F.col("id_a")).alias("late")).distinct()
-    edges = checkpointed(edges)
-    dropped = spark.createDataFrame([], rows.select("id").schema)
-    while not edges.isEmpty():  # each round decides the earliest row left at least
-        heads = edges.select(F.col("early").alias("id")).distinct().join(edges.select(F.col("late").alias("id")).distinct(), "id", "left_anti")
-        gone = edges.join(heads.withColumnRenamed("id", "early"), "early", "left_semi").select(F.col("late").alias("id")).distinct()
-        dropped = checkpointed(dropped.unionByName(gone))
-        gone_early, gone_late = (gone.withColumnRenamed("id", c) for c in ("early", "late"))
-        edges = checkpointed(edges.join(heads.withColumnRenamed("id", "early"), "early", "left_anti").join(gone_early, "early", "left_anti").join(gone_late, "late", "left_anti"))
-    return rows.join(dropped, "id", "left_anti")
+    at = F.struct("observed_on", "id")
+    first = saved(rows.groupBy("simhash", "posting").agg(F.min(at).alias("at")), "first-rows")
+    heads = saved(first.groupBy("simhash").agg(F.min(F.struct("at", "posting")).alias("h")).select("simhash", "h.at", "h.posting"), "heads")
+    pairs = near_classes(first.select("simhash").distinct())
+    near = saved(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "near-classes")
+    kept = spark.createDataFrame([], heads.schema)
+    other = lambda df: df.select(F.col("simhash").alias("b"), F.col("at").alias("b_at"), F.col("posting").alias("b_posting"))
+    while not heads.isEmpty():  # each round drops a head or keeps the earliest of all
+        hits = heads.join(near, F.col("simhash") == F.col("a")).join(other(kept), "b").filter("b_at < at and not (b_posting <=> posting)")
+        hits = saved(hits.groupBy("simhash").agg(F.min("at").alias("was"), F.min(F.struct("b_posting")).alias("p"), F.max(F.struct("b_posting")).alias("q")), "dropped-heads")
+        follows = hits.filter("p <=> q").select("simhash", "was", F.col("p.b_posting").alias("next")).join(first.select(F.col("simhash").alias("s"), "posting", F.col("at").alias("then")), F.expr("simhash = s and next <=> posting")).filter("then > was")
+        alive = heads.join(hits, "simhash", "left_anti").withColumn("tried", F.lit(True))
+        pool = saved(alive.unionByName(follows.select("simhash", F.col("then").alias("at"), "posting", F.lit(False).alias("tried"))), "heads")
+        blocked = pool.join(near, F.col("simhash") == F.col("a")).join(other(pool), "b").filter("b_at < at").select("simhash").distinct()
+        new = saved(pool.filter("tried").join(blocked, "simhash", "left_anti").drop("tried"), "kept-heads")
+        kept = saved(kept.unionByName(new), "kept-heads")
+        heads = saved(pool.drop("tried").join(new, "simhash", "left_anti"), "heads")
+    # what drops rows of a class: the first kept head near it, and the first of another posting
+    droppers = kept.join(near, F.col("simhash") == F.col("a")).select(F.col("b").alias("simhash"), "at", "posting").unionByName(kept)
+    one = saved(droppers.groupBy("simhash").agg(F.min(F.struct("at", "posting")).alias("one")), "droppers")
+    two = droppers.join(one, "simhash").filter("not (posting <=> one.posting)").groupBy("simhash").agg(F.min("at").alias("two"))
+    limits = one.join(two, "simhash", "left").withColumnRenamed("simhash", "of")
+    gone = F.coalesce(F.when(F.col("one.posting").eqNullSafe(F.col("posting")), F.col("two") < at).otherwise(F.col("one.at") < at), F.lit(False))
+    return rows.join(limits, F.col("simhash") == F.col("of"), "left").filter(~gone).drop("of", "one", "two")

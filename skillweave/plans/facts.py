@@ -93,8 +93,8 @@ def mention_rollup(spark, sf_dir):
 
 
 def coverage_pool(spark, sf_dir):
-    """The cluster of a job, for its coverage, is its evidence of the year's last quarter of orders."""
-    rows = mentions(spark, sf_dir).filter(F.quarter("observed_on") == 4)
+    """Coverage of a skill over the whole cluster of its job's evidence."""
+    rows = mentions(spark, sf_dir)
     sizes = rows.groupBy("job").agg(F.countDistinct("evidence").alias("size"))
     return vt.pooled(vt.roll_up(rows), sizes).select("job", "skill", "n_evidence", "coverage", "pooled")
 
@@ -142,7 +142,7 @@ def curation_run(spark, sf_dir):
 
 def alternative_groups(spark, sf_dir):
     """Pairs of ranked skills of a job that rarely meet in one order but together cover much: candidates for one group."""
-    rows = v.lines(spark, sf_dir).join(v.requirements(spark, sf_dir).filter("rank <= 6").select("job", "skill"), ["job", "skill"]).select("job", "skill", "evidence").distinct()
+    rows = v.lines(spark, sf_dir).join(v.requirements(spark, sf_dir).select("job", "skill"), ["job", "skill"]).select("job", "skill", "evidence").distinct()
     n = rows.groupBy("job", "skill").agg(F.count("*").alias("n"))
     size = rows.groupBy("job").agg(F.countDistinct("evidence").alias("size"))
     both = rows.select("job", F.col("skill").alias("skill_1"), "evidence").join(rows.select("job", F.col("skill").alias("skill_2"), "evidence"), ["job", "evidence"]).filter("skill_1 < skill_2").groupBy("job", "skill_1", "skill_2").agg(F.count("*").alias("meet"))
@@ -229,7 +229,7 @@ SELECT *, CASE WHEN job % 11 = 0 OR job % 7 = 0 THEN 'candidate' WHEN job % 2 =
     "revote": (revote, W + R + ", gd AS (SELECT * FROM ln WHERE evidence NOT IN (SELECT evidence FROM ln WHERE line = 7))," + VOTES.format(src="ln") + "," + VOTES.format(src="gd").replace("vr ", "vr2 ").replace("FROM vr ", "FROM vr2 ").replace("vs AS", "vs2 AS").replace("FROM vr2 GROUP", "FROM vr2 GROUP").replace("vk AS", "vk2 AS").replace("FROM vs)", "FROM vs2)") + """
 SELECT a.job, a.skill, a.kind AS kind_before, b.kind AS kind_after FROM vk a LEFT JOIN vk2 b ON a.job = b.job AND a.skill = b.skill WHERE a.kind IS DISTINCT FROM b.kind"""),
     "mention_rollup": (mention_rollup, W + R + "," + ROLL.format(src="ln") + " SELECT * FROM ro"),
-    "coverage_pool": (coverage_pool, W + R + ", q4 AS (SELECT * FROM ln WHERE quarter(observed_on) = 4), sz AS (SELECT job, count(DISTINCT evidence) AS size FROM q4 GROUP BY job)," + ROLL.format(src="q4") + """
+    "coverage_pool": (coverage_pool, W + R + ", sz AS (SELECT job, count(DISTINCT evidence) AS size FROM ln GROUP BY job)," + ROLL.format(src="ln") + """
 SELECT job, skill, n_evidence, round(n_evidence / size, 6) AS coverage, n_evidence / size >= 0.3 AS pooled FROM ro JOIN sz USING (job)"""),
     "confidence_layer": (confidence_layer, W + R + "," + ROLL.format(src="ln") + """
 SELECT job, CASE WHEN excerpt = '' THEN 'low' WHEN n_sources >= 3 AND confidence >= 0.8 THEN 'high' WHEN n_sources >= 2 AND confidence >= 0.5 THEN 'mid' ELSE 'low' END AS layer, count(*) AS n FROM ro GROUP BY ALL"""),
@@ -241,7 +241,7 @@ SELECT skill, arg_max(category, (n, -seen)) AS category, max(n) AS n FROM ct GRO
     "curation_run": (curation_run, W + R + "," + H + """, op AS (SELECT DISTINCT job, skill FROM hist WHERE valid_to IS NULL),
 bo AS (SELECT coalesce(a.job, b.job) AS job, a.job IS NOT NULL AS a, b.job IS NOT NULL AS b FROM req a FULL JOIN op b ON a.job = b.job AND a.skill = b.skill)
 SELECT job, sum(CASE WHEN a AND b THEN 1 ELSE 0 END) AS kept, sum(CASE WHEN a AND NOT b THEN 1 ELSE 0 END) AS opened, sum(CASE WHEN b AND NOT a THEN 1 ELSE 0 END) AS expired FROM bo GROUP BY job"""),
-    "alternative_groups": (alternative_groups, W + R + """, m AS (SELECT DISTINCT ln.job, ln.skill, evidence FROM ln JOIN req ON ln.job = req.job AND ln.skill = req.skill WHERE rank <= 6),
+    "alternative_groups": (alternative_groups, W + R + """, m AS (SELECT DISTINCT ln.job, ln.skill, evidence FROM ln JOIN req ON ln.job = req.job AND ln.skill = req.skill),
 n AS (SELECT job, skill, count(*) AS n FROM m GROUP BY job, skill), sz AS (SELECT job, count(DISTINCT evidence) AS size FROM m GROUP BY job),
 bo AS (SELECT a.job, a.skill AS s1, b.skill AS s2, count(*) AS meet FROM m a JOIN m b ON a.job = b.job AND a.evidence = b.evidence AND a.skill < b.skill GROUP BY ALL),
 pa AS (SELECT a.job, a.skill AS skill_1, b.skill AS skill_2, coalesce(meet, 0) AS meet, a.n AS n1, b.n AS n2, size FROM n a JOIN n b ON a.job = b.job AND a.skill < b.skill JOIN sz ON sz.job = a.job LEFT JOIN bo ON bo.job = a.job AND s1 = a.skill AND s2 = b.skill)

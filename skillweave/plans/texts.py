@@ -38,8 +38,7 @@ def section_split(spark, sf_dir):
 
 
 def domain_classify(spark, sf_dir):
-    title = F.substring("text", 1, 40)
-    return v.table(spark, sf_dir, "documents").groupBy("lang", t.classify(title, KEYWORDS, "none").alias("domain")).agg(F.count("*").alias("n"))
+    return v.table(spark, sf_dir, "documents").groupBy("lang", t.classify(F.col("text"), KEYWORDS, "none").alias("domain")).agg(F.count("*").alias("n"))
 
 
 def simhash(spark, sf_dir):
@@ -96,7 +95,7 @@ def vocab_mentions(spark, sf_dir):
 
 
 def target_match(spark, sf_dir):
-    titles = v.postings(spark, sf_dir).select("id", "title")
+    titles = v.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
     names = vocabulary(spark, sf_dir).select("name", F.xxhash64("name").alias("ord"))
     longest = taxonomy.longest_contained(titles, names)
     return longest.groupBy(F.length("target").alias("length")).agg(F.count("*").alias("n"))
@@ -241,7 +240,7 @@ l AS (SELECT * FROM m UNION ALL SELECT doc_id, text, 'requirement', 1 FROM docum
 e AS (SELECT *, lead(ats, 1, length(text) + 1) OVER (PARTITION BY doc_id ORDER BY ats, section) AS stop FROM l)
 SELECT doc_id, section, length(substr(text, ats, stop - ats)) AS n_chars, md5(substr(text, ats, stop - ats)) AS text_md5 FROM e"""),
     "domain_classify": (domain_classify, r"""SELECT lang, CASE WHEN regexp_matches(x, '(^|[^a-z0-9])the($|[^a-z0-9])') THEN 'system' WHEN regexp_matches(x, '(^|[^a-z0-9])der($|[^a-z0-9])') THEN 'data'
-WHEN regexp_matches(x, '(^|[^a-z0-9])que($|[^a-z0-9])') THEN 'iot' WHEN contains(x, 'ción') THEN 'ai' ELSE 'none' END AS domain, count(*) AS n FROM (SELECT lang, lower(substr(text, 1, 40)) AS x FROM documents) GROUP BY ALL"""),
+WHEN regexp_matches(x, '(^|[^a-z0-9])que($|[^a-z0-9])') THEN 'iot' WHEN contains(x, 'ción') THEN 'ai' ELSE 'none' END AS domain, count(*) AS n FROM (SELECT lang, lower(text) AS x FROM documents) GROUP BY ALL"""),
     "simhash": (simhash, W + SIM + " SELECT doc_id, lpad(lower(to_hex(h)), 16, '0') AS simhash FROM al"),
     "near_dup_pairs": (near_dup_pairs, W + SIM + """, cl AS (SELECT h, count(*) AS n, min(doc_id) AS doc FROM al GROUP BY h)
 SELECT a.doc AS doc_1, b.doc AS doc_2, a.n AS n_1, b.n AS n_2, bit_count(xor(a.h, b.h)) AS distance FROM cl a JOIN cl b ON a.doc < b.doc WHERE bit_count(xor(a.h, b.h)) <= 3"""),
@@ -251,7 +250,7 @@ SELECT a.doc AS doc_1, b.doc AS doc_2, a.n AS n_1, b.n AS n_2, bit_count(xor(a.h
     "date_conflicts": (date_conflicts, W + v.HISTORY_SQL + """, h AS (SELECT * FROM hist WHERE valid_to IS NOT NULL)
 SELECT x.job, count(*) AS n_overlaps, CAST(sum(least(x.valid_to, y.valid_to) - y.valid_from) AS BIGINT) AS days FROM h x JOIN h y ON x.job = y.job AND x.skill = y.skill AND x.valid_from < y.valid_from AND y.valid_from <= x.valid_to GROUP BY x.job"""),
     "vocab_mentions": (vocab_mentions, W + VOCAB + f", tx AS (SELECT doc_id, unnest(list_distinct({TOK})) AS name FROM documents) SELECT name AS skill, count(*) AS n_docs FROM tx JOIN vc USING (name) GROUP BY name"),
-    "target_match": (target_match, W + VOCAB + f", tx AS (SELECT doc_id, unnest({TOK}) AS name FROM (SELECT doc_id, substr(text, 1, 40) AS text FROM documents)), mx AS (SELECT doc_id, max(length(name)) AS length FROM tx JOIN vc USING (name) GROUP BY doc_id) SELECT length, count(*) AS n FROM mx GROUP BY length"),
+    "target_match": (target_match, W + VOCAB + f", tx AS (SELECT doc_id, unnest({TOK}) AS name FROM documents), mx AS (SELECT doc_id, max(length(name)) AS length FROM tx JOIN vc USING (name) GROUP BY doc_id) SELECT length, count(*) AS n FROM mx GROUP BY length"),
     "align_exact": (align_exact, "SELECT CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS skill, count(*) AS n FROM customer GROUP BY ALL"),
     "align_similarity": (align_similarity, """WITH vb AS (SELECT label, min(vec_id) AS ord, arg_min(embedding, vec_id) AS e FROM embeddings GROUP BY label),
 pr AS (SELECT vec_id, vb.label, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS sim, ord FROM embeddings, vb),

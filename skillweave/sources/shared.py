@@ -1,8 +1,9 @@
-"""Checkpoints in the folder that the cluster names; a temporary one only where none is named."""
+"""Tables in the folder that the cluster names; a temporary one only where none is named."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,10 +17,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/{name}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by files that all executors share."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-", dir="/tmp"))
-    return df.checkpoint()
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it: cuts lineage, survives lost executors, runs the plan once."""
+    path = shared_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 """Single operators on tiny tables, with the values that their rules give."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,8 +163,6 @@ def sequential(rows):
 
 
 def test_keep_earliest_equals_one_pass(spark):
-    import random
-
     rng = random.Random(5)
     rows = []
     for i in range(120):
@@ -173,6 +172,20 @@ def test_keep_earliest_equals_one_pass(spark):
     assert {r["id"] for r in dedup.keep_earliest(df).collect()} == sequential(rows)
 
 
+def test_keep_earliest_of_many_equal_texts(spark):
+    """20,000 rows of one hash make no pairs: the first posting's rows stay."""
+    df = spark.range(20_000).select("id", (F.col("id") % 5000).alias("posting"), F.lit(0).cast("long").alias("simhash"), F.lit("2024-01-01").cast("date").alias("observed_on"))
+    assert {r["id"] for r in dedup.keep_earliest(df).collect()} == {0, 5000, 10_000, 15_000}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_keep_earliest_of_near_classes_with_few_postings(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, rng.randrange(4), rng.choice([0, 1, 3, 7, 15, 31, 63, 127, 1 << 40, 5 << 40]), D(2024, 1, 1 + rng.randrange(9))) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, posting long, simhash long, observed_on date")
+    assert {r["id"] for r in dedup.keep_earliest(df).collect()} == sequential(rows)
+
+
 def test_keep_earliest_follows_a_long_chain(spark):
     rows, h = [], 0
     for i in range(63):
