@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import facts, intake, matching, streams, texts
+from . import facts, intake, matching, profiles, streams, texts
 
-ALL = {**matching.QUERIES, **facts.QUERIES, **texts.QUERIES, **streams.QUERIES, **intake.QUERIES}
+ALL = {**matching.QUERIES, **facts.QUERIES, **texts.QUERIES, **streams.QUERIES, **intake.QUERIES, **profiles.QUERIES}
 QUERIES = {name: query for name, (query, _) in ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in ALL.items() if sql}
