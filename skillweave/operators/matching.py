@@ -51,10 +51,26 @@ def unit_totals(of_units: DataFrame) -> DataFrame:
 
 
 def covered_units(of_units: DataFrame, skills: DataFrame) -> DataFrame:
-    """job, resume, kind, unit, cover: of each unit the best ``min_required`` members that the profile holds."""
+    """job, resume, kind, unit, cover, least: of each unit the best ``min_required`` members that the profile holds. Covers are whole or half, so counts tell which are best."""
     held = of_units.join(skills, "skill").withColumn("cover", cover(F.col("kind"), F.col("level"), F.col("held")))
-    w = Window.partitionBy("job", "resume", "kind", "unit").orderBy(F.desc("cover"), "skill")
-    return held.withColumn("nth", F.row_number().over(w)).filter("nth <= min_required").groupBy("job", "resume", "kind", "unit").agg(F.sum("cover").alias("cover"), F.max("min_required").alias("least"))
+    n = held.groupBy("job", "resume", "kind", "unit").agg(F.sum((F.col("cover") == 1).cast("int")).alias("whole"), F.sum((F.col("cover") == 0.5).cast("int")).alias("half"), F.max("min_required").alias("least"))
+    return n.select("job", "resume", "kind", "unit", (F.least("whole", "least") + 0.5 * F.least(F.col("half"), F.greatest(F.lit(0), F.col("least") - F.col("whole")))).alias("cover"), "least")
+
+
+def pair_units(requirements: DataFrame, skills: DataFrame) -> DataFrame:
+    """One row per pair that shares a skill: job, resume, score, full_req, full_bonus, and gaps, the units of the job that the profile covers in part or not at all.
+
+    A job has at most as many units as the caps allow, so its units are one array, and gaps are worked out row by row."""
+    own = units(requirements)
+    got = lambda k: F.sum(F.when(F.col("kind") == k, F.col("cover")).otherwise(0.0))
+    name = F.concat_ws("|", "kind", "unit")
+    pairs = covered_units(own, skills).groupBy("job", "resume").agg(got("required").alias("cov_req"), got("bonus").alias("cov_bonus"), F.map_from_entries(F.collect_list(F.struct(name, "cover"))).alias("got"))
+    each = own.groupBy("job", "kind", "unit").agg(F.max("min_required").alias("least"))
+    arrays = each.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("kind", "unit", "least"))).alias("units"))
+    out = pairs.join(unit_totals(own).join(arrays, "job"), "job")
+    out = out.withColumn("score", F.round(score(*(F.col(c) for c in ("cov_req", "cov_bonus", "full_req", "full_bonus"))), 6))
+    covers = F.transform("units", lambda u: F.struct(u["kind"].alias("kind"), u["unit"].alias("unit"), u["least"].alias("least"), F.coalesce(F.try_element_at("got", F.concat_ws("|", u["kind"], u["unit"])), F.lit(0.0)).alias("cover")))
+    return out.select("job", "resume", "score", "full_req", "full_bonus", F.filter(covers, lambda u: u["cover"] < u["least"]).alias("gaps"))
 
 
 def compare(requirements: DataFrame, skills: DataFrame) -> DataFrame:
@@ -75,27 +91,21 @@ def recommend(pairs: DataFrame, freshness: DataFrame, k: int = 3) -> DataFrame:
 
 def gaps(requirements: DataFrame, skills: DataFrame) -> DataFrame:
     """resume, job, unit, kind, cover, missing for each unit that a profile covers in part or not at all, of pairs that share a skill."""
-    own = units(requirements)
-    got = covered_units(own, skills)
-    every = own.groupBy("job", "kind", "unit").agg(F.max("min_required").alias("least"))
-    open_units = got.select("job", "resume").distinct().join(every, "job").join(got.drop("least"), ["job", "resume", "kind", "unit"], "left")
-    value = F.coalesce("cover", F.lit(0.0))
-    return open_units.filter(value < F.col("least")).select("resume", "job", "kind", "unit", (value / F.col("least")).alias("cover"), F.ceil(F.col("least") - value).alias("missing"))
+    rows = pair_units(requirements, skills).select("resume", "job", F.explode("gaps").alias("g"))
+    return rows.select("resume", "job", "g.kind", "g.unit", (F.col("g.cover") / F.col("g.least")).alias("cover"), F.ceil(F.col("g.least") - F.col("g.cover")).alias("missing"))
 
 
 def shift_set(requirements: DataFrame, skills: DataFrame) -> DataFrame:
-    """The shortest run of gap units, largest gain first, that lifts a pair to the next band: resume, job, unit, step, reached."""
-    pairs = compare(requirements, skills)
+    """The shortest run of gap units, largest gain first, that lifts a pair to the next band: resume, job, unit, kind, step, reached."""
+    rows = pair_units(requirements, skills).withColumn("cut", next_cut(F.col("score"))).filter("cut is not null")
     whole = F.col("full_req") + BONUS_WEIGHT * F.col("full_bonus")
-    gain = (1 - F.col("cover")) * F.col("least") * F.when(F.col("kind") == "bonus", BONUS_WEIGHT).otherwise(1.0) * 100 / whole
-    least = units(requirements).groupBy("job", "kind", "unit").agg(F.max("min_required").alias("least"))
-    rows = gaps(requirements, skills).join(least, ["job", "kind", "unit"]).join(pairs.select("job", "resume", "score", "full_req", "full_bonus"), ["job", "resume"])
-    rows = rows.withColumn("gain", F.round(gain, 6)).withColumn("cut", next_cut(F.col("score"))).filter("cut is not null")
-    w = Window.partitionBy("job", "resume").orderBy(F.desc("gain"), "unit", "kind")
-    rows = rows.withColumn("step", F.row_number().over(w)).withColumn("before", F.col("score") + F.coalesce(F.sum("gain").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    rows = rows.withColumn("can", F.max(F.col("before") + F.col("gain")).over(Window.partitionBy("job", "resume")))
-    reached = F.round(F.col("before") + F.col("gain"), 4)
-    return rows.filter((F.col("before") < F.col("cut") - 1e-5) & (F.col("can") >= F.col("cut") - 1e-5)).select("resume", "job", "unit", "kind", "step", reached.alias("reached"))
+    gain = lambda g: F.round((1 - g["cover"]) * g["least"] * F.when(g["kind"] == "bonus", BONUS_WEIGHT).otherwise(1.0) * 100 / whole, 6)
+    ordered = F.array_sort(F.transform("gaps", lambda g: F.struct((-gain(g)).alias("loss"), g["unit"].alias("unit"), g["kind"].alias("kind"))))
+    none = F.array().cast("array<struct<unit:string,kind:string,reached:double>>")
+    step = lambda run, g: F.struct((run["at"] - g["loss"]).alias("at"), F.concat(run["path"], F.array(F.struct(g["unit"].alias("unit"), g["kind"].alias("kind"), F.round(run["at"] - g["loss"], 4).alias("reached")))).alias("path"))
+    run = F.aggregate(ordered, F.struct(F.col("score").alias("at"), none.alias("path")), lambda run, g: F.when(run["at"] < F.col("cut") - 1e-5, step(run, g)).otherwise(run))
+    rows = rows.select("resume", "job", "cut", run.alias("run")).filter(F.col("run.at") >= F.col("cut") - 1e-5)
+    return rows.select("resume", "job", F.posexplode("run.path").alias("pos", "p")).select("resume", "job", "p.unit", "p.kind", (F.col("pos") + 1).alias("step"), "p.reached")
 
 
 def simulate(requirements: DataFrame, skills: DataFrame, assumed: DataFrame) -> DataFrame:

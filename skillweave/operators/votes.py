@@ -76,3 +76,16 @@ def review_effects(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
 def first_per_source(rows: DataFrame, order: list[str]) -> DataFrame:
     w = Window.partitionBy("job", "source").orderBy(*order)
     return rows.withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth")
+
+
+def alternative_pairs(mentions: DataFrame, least_share: float = 0.3, most_meet: float = 0.1) -> DataFrame:
+    """Pairs of skills of a job in mentions(job, skill, evidence) that rarely meet in one evidence but together cover much: candidates for one group."""
+    n = mentions.groupBy("job", "skill").agg(F.count("*").alias("n"))
+    size = mentions.groupBy("job").agg(F.countDistinct("evidence").alias("size"))
+    one, two = (mentions.select("job", F.col("skill").alias(f"skill_{s}"), "evidence") for s in (1, 2))
+    both = one.join(two, ["job", "evidence"]).filter("skill_1 < skill_2").groupBy("job", "skill_1", "skill_2").agg(F.count("*").alias("meet"))
+    a, b = (n.select("job", F.col("skill").alias(f"skill_{s}"), F.col("n").alias(f"n_{s}")) for s in (1, 2))
+    pairs = a.join(b, "job").filter("skill_1 < skill_2").join(both, ["job", "skill_1", "skill_2"], "left").join(size, "job")
+    meet = F.coalesce("meet", F.lit(0))
+    share = (F.col("n_1") + F.col("n_2") - meet) / F.col("size")
+    return pairs.filter((share >= least_share) & (meet <= most_meet * F.least("n_1", "n_2"))).select("job", "skill_1", "skill_2", meet.alias("meet"), F.round(share, 6).alias("coverage"))

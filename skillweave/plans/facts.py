@@ -9,6 +9,7 @@ from ..operators import history as h
 from ..operators import release as r
 from ..operators import votes as vt
 from ..sources import views as v
+from ..sources.shared import saved
 
 W = "WITH "
 R = v.REQUIREMENTS_SQL
@@ -120,7 +121,7 @@ def equivalent_count(spark, sf_dir):
 
 def gate_errors(spark, sf_dir):
     """All pairs with three mentions, ungrouped, against the ranked table as the previous release; jobs that are multiples of 5 are overridden."""
-    stats = v.requirement_stats(spark, sf_dir).filter("n_sources >= 2")
+    stats = saved(v.requirement_stats(spark, sf_dir).filter("n_sources >= 2"), "stats")
     rows = stats.select("job", "skill", F.when(F.col("explicit") * 2 >= F.col("mentions"), "required").otherwise("bonus").alias("kind"), F.lit(None).cast("string").alias("group_id"), F.lit(1).alias("min_required"))
     overrides = rows.filter("job % 5 = 0").select("job").distinct()
     return r.gate_errors(rows, v.requirements(spark, sf_dir).filter("rank <= 8"), overrides)
@@ -141,16 +142,9 @@ def curation_run(spark, sf_dir):
 
 
 def alternative_groups(spark, sf_dir):
-    """Pairs of ranked skills of a job that rarely meet in one order but together cover much: candidates for one group."""
+    """Pairs of ranked skills; the given mentions are spread over so many skills that a twentieth of a job's evidence counts as much."""
     rows = v.lines(spark, sf_dir).join(v.requirements(spark, sf_dir).select("job", "skill"), ["job", "skill"]).select("job", "skill", "evidence").distinct()
-    n = rows.groupBy("job", "skill").agg(F.count("*").alias("n"))
-    size = rows.groupBy("job").agg(F.countDistinct("evidence").alias("size"))
-    both = rows.select("job", F.col("skill").alias("skill_1"), "evidence").join(rows.select("job", F.col("skill").alias("skill_2"), "evidence"), ["job", "evidence"]).filter("skill_1 < skill_2").groupBy("job", "skill_1", "skill_2").agg(F.count("*").alias("meet"))
-    a, b = (n.select("job", F.col("skill").alias(f"skill_{s}"), F.col("n").alias(f"n_{s}")) for s in (1, 2))
-    pairs = a.join(b, "job").filter("skill_1 < skill_2").join(both, ["job", "skill_1", "skill_2"], "left").join(size, "job")
-    meet = F.coalesce("meet", F.lit(0))
-    share = (F.col("n_1") + F.col("n_2") - meet) / F.col("size")
-    return pairs.filter((share >= 0.3) & (meet <= 0.1 * F.least("n_1", "n_2"))).select("job", "skill_1", "skill_2", meet.alias("meet"), F.round(share, 6).alias("coverage"))
+    return vt.alternative_pairs(rows, least_share=0.05)
 
 
 def audit(spark, sf_dir):
@@ -245,7 +239,7 @@ SELECT job, sum(CASE WHEN a AND b THEN 1 ELSE 0 END) AS kept, sum(CASE WHEN a AN
 n AS (SELECT job, skill, count(*) AS n FROM m GROUP BY job, skill), sz AS (SELECT job, count(DISTINCT evidence) AS size FROM m GROUP BY job),
 bo AS (SELECT a.job, a.skill AS s1, b.skill AS s2, count(*) AS meet FROM m a JOIN m b ON a.job = b.job AND a.evidence = b.evidence AND a.skill < b.skill GROUP BY ALL),
 pa AS (SELECT a.job, a.skill AS skill_1, b.skill AS skill_2, coalesce(meet, 0) AS meet, a.n AS n1, b.n AS n2, size FROM n a JOIN n b ON a.job = b.job AND a.skill < b.skill JOIN sz ON sz.job = a.job LEFT JOIN bo ON bo.job = a.job AND s1 = a.skill AND s2 = b.skill)
-SELECT job, skill_1, skill_2, meet, round((n1 + n2 - meet) / size, 6) AS coverage FROM pa WHERE (n1 + n2 - meet) / size >= 0.3 AND meet <= 0.1 * least(n1, n2)"""),
+SELECT job, skill_1, skill_2, meet, round((n1 + n2 - meet) / size, 6) AS coverage FROM pa WHERE (n1 + n2 - meet) / size >= 0.05 AND meet <= 0.1 * least(n1, n2)"""),
     "audit": (audit, W + GATE.replace("\neq AS", "\neqp AS").replace("JOIN eq ", "JOIN eqp ").replace("\nal AS", "\nalp AS").replace("\ngr AS", "\ngrp AS").replace("FROM al ", "FROM alp ").replace("FROM gr)", "FROM grp)") + "," + EQUIV.format(src="req") + "," + H + "," + DELTA + """,
 d2 AS (SELECT job, sum(CASE WHEN change = 'added' THEN 1 ELSE 0 END) AS n_added, sum(CASE WHEN change = 'expired' THEN 1 ELSE 0 END) AS n_expired FROM dl WHERE change IS NOT NULL GROUP BY job),
 e2 AS (SELECT job, count(*) AS n_errors FROM ge GROUP BY job)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching as m
 from ..sources import views as v
+from ..sources.shared import saved
 
 COMPARE_SQL = f"""WITH {v.REQUIREMENTS_SQL}, {v.RESUME_SQL},
 un AS (SELECT *, CASE WHEN group_id IS NULL THEN 's:' || CAST(skill AS VARCHAR) ELSE 'g:' || group_id END AS unit FROM req),
@@ -50,7 +51,7 @@ def shift_set(spark, sf_dir):
 
 def simulate_assumed(spark, sf_dir):
     """Each profile is taken to hold the skill that comes next after its smallest one."""
-    skills = v.resume_skills(spark, sf_dir)
+    skills = saved(v.resume_skills(spark, sf_dir), "resume-skills")
     assumed = skills.groupBy("resume").agg((F.min("skill") + 1).alias("skill"))
     return m.simulate(v.requirements(spark, sf_dir), skills, assumed).filter("score_after <> score_before")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 REQUIRED_CAP, FORMAL_CAP = 12, 24
 
 
@@ -18,7 +20,7 @@ def level(quantity):
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("body"), F.col("source").alias("company"), F.col("lang").alias("domain"), F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") * 37 % 500).cast("int")).alias("observed_on"))
+    return docs.select(F.col("doc_id").alias("id"), F.col("text").alias("body"), F.col("source").alias("company"), F.col("lang").alias("domain"), F.date_add(F.lit("2023-01-01").cast("date"), (F.col("doc_id") * 37 % 500).cast("int")).alias("observed_on"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def requirement_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """job, skill, kind, level, n_sources, group_id, min_required: the ranked, capped and grouped requirement table."""
+    """job, skill, kind, level, n_sources, group_id, min_required: the ranked, capped and grouped requirement table, written once (FORMAL_CAP rows a job)."""
     wants = F.col("explicit") * 2 >= F.col("mentions")
     order = [F.desc("n_sources"), F.desc("explicit"), F.desc("top_quantity"), "skill"]
     ranked = requirement_stats(spark, sf_dir).withColumn("wants", wants.cast("int")).withColumn("rank", F.row_number().over(Window.partitionBy("job").orderBy(*order)))
@@ -46,7 +48,7 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ranked.select("job", "skill", kind.alias("kind"), "level", "n_sources", "rank")
     brand = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("skill"), F.col("p_brand").alias("brand"))
     rows = rows.join(brand, "skill").withColumn("members", F.count("*").over(Window.partitionBy("job", "kind", "brand")))
-    return rows.select("job", "skill", "kind", "level", "n_sources", "rank", F.when(F.col("members") > 1, F.col("brand")).alias("group_id"), F.lit(1).alias("min_required"))
+    return saved(rows.select("job", "skill", "kind", "level", "n_sources", "rank", F.when(F.col("members") > 1, F.col("brand")).alias("group_id"), F.lit(1).alias("min_required")), "requirements")
 
 
 REQUIREMENTS_SQL = """
