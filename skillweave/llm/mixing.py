@@ -7,8 +7,8 @@ posteriors, meet the target shares of the total. The rates solve a bounded least
 gradient steps: one step needs the vector of domain totals under the present rates, a single
 grouped sum over all documents; the step itself is the same expression for each document. So a document's
 rate is a fold of its posteriors over the steps so far, worked out anew in each pass, and neither rates nor
-gradients of documents are ever gathered: the driver sees K totals a step, and one K x K moment matrix,
-which scales the steps.
+gradients of documents are ever gathered: the driver sees K totals a step, and the K x K moment matrix of the documents
+whose rates no bound holds, which scales the step.
 
 Words are hashed into ``BUCKETS`` buckets, so the model is a table of fixed size. Posteriors use the
 mean log likelihood per word times ``sharpness``, which keeps long texts from being all one domain.
@@ -139,19 +139,23 @@ def fit_rates(rows: DataFrame, target: np.ndarray, *, low: float, high: float |
     if budget is None:
         budget = float(max(low, np.max(np.where(target > 0, low * have / np.maximum(target, 1e-12), 0))))
     goal = budget * target
-    scale = np.linalg.pinv(moment, rcond=1e-6)
     steps: list[np.ndarray] = []
     best, best_error = 0, np.inf
     for n in range(STEPS + 1):
         rate = rate_column(steps, low, high)
-        now = np.array(rows.withColumn("mix_w", rate * F.col("mix_tokens")).agg(*[F.sum(F.col("mix_w") * part(i)) for i in range(k)]).first()) / total
+        # the gradient needs the totals; its scale the moments of the rows whose rates no bound holds
+        free = F.when((F.col("mix_r") > low) & (F.col("mix_r") < (float("inf") if high is None else high)), F.col("mix_tokens")).otherwise(0)
+        given = rows.withColumn("mix_r", rate).withColumn("mix_w", F.col("mix_r") * F.col("mix_tokens"))
+        found = given.agg(*[F.sum(F.col("mix_w") * part(i)) for i in range(k)], *[F.sum(free * part(i) * part(j)) for i in range(k) for j in range(k)]).first()
+        now, inside = np.array(found[:k]) / total, np.array(found[k:]).reshape(k, k) / total
         error = float(np.abs(now - goal).max())
         if error < best_error - TOLERANCE:
             best, best_error, reached = n, error, now
-        elif n - best >= 5:
+        elif n - best >= 8:
             break
         if error < TOLERANCE:
             break
+        scale = np.linalg.pinv(inside if np.linalg.matrix_rank(inside, 1e-9) == np.linalg.matrix_rank(moment, 1e-9) else moment, rcond=1e-6)
         steps.append(scale @ (now - goal))
     shares = reached / reached.sum()
     if np.abs(shares - target).max() > MISS:
@@ -162,11 +166,13 @@ def fit_rates(rows: DataFrame, target: np.ndarray, *, low: float, high: float |
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: list[str], *, low: float = 0.0, high: float | None = None, budget: float | None = 1.0) -> tuple[DataFrame, dict[str, float]]:
     """The columns ``keep`` with mix_tokens, mix_p and mix_rate of every row, and the shares that are reached."""
     model = learn_domains(docs, labelled)
-    rows = saved(with_posteriors(docs, model, keep), "mix-posteriors")
+    rows = saved(with_posteriors(docs, model, [c for c in keep if c != "text"]), "mix-posteriors")
     target = np.array([targets.get(d, 0.0) for d in model.domains])
     if target.sum() <= 0:
         target = np.ones(len(target))
     rate, reached, _ = fit_rates(rows, target, low=low, high=high, budget=budget)
+    if "text" in keep:  # texts are read again, not copied: posteriors follow from them alone
+        rows = with_posteriors(docs, model, keep)
     return rows.withColumn("mix_rate", rate), dict(zip(model.domains, reached.tolist(), strict=True))
 
 

@@ -419,12 +419,56 @@ def test_stages_decide_on_each_row_whatever_its_id(spark, tmp_path):
     texts = lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
     clean = words_of("clean", 20)
     rows = make([(None, "x " + leak), (None, clean), (5, leak + " y"), (5, clean)])
-    assert texts(cp.drop_leaks(spark, rows, str(tmp_path))) == [("5", clean), ("None", clean)]
+    rows.withColumn("row_key", F.lit(1)).withColumn("digest", F.lit("x")).write.parquet(f"{tmp_path}/leaky")
+    for form in (rows, spark.read.parquet(f"{tmp_path}/leaky")):
+        assert texts(cp.drop_leaks(spark, form, str(tmp_path))) == [("5", clean), ("None", clean)]
     a, b, c = words_of("a"), words_of("b"), words_of("c")
     rows = make([(1, a), (1, a), (None, a + " more"), (2, b), (3, b), (3, c), (None, "no ids " + c[::-1]), (None, "no ids " + c[::-1]), (4, "")])
     assert texts(cp.drop_near_duplicates(spark, rows, str(tmp_path))) == sorted([("1", a), ("2", b), ("3", c), ("None", "no ids " + c[::-1]), ("4", "")])
 
 
+def test_stages_of_an_empty_table_and_of_awkward_rows(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, row_key int"
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(12)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "never said by any text of these here at all my friend")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/none")
+    spark.createDataFrame([(i, t, None, "s", 3, 1) for i, t, _ in ROWS], kinds).write.parquet(f"{tmp_path}/odd")
+    for name, n in (("none", 0), ("odd", len(ROWS))):
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        for stage in (cp.drop_toxic, cp.drop_leaks, cp.mix_sources):
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == cp.COLUMNS and out.count() >= n
+        assert cp.drop_near_duplicates(spark, docs, str(tmp_path)).count() == (n and len({c for _, _, c in shingle_components(ROWS)} | {3, 4, 5}))
+        assert cp.write_tokens(spark, docs, str(tmp_path)).count() == n
+
+
+@pytest.mark.parametrize("targets", [{"quality=0": 0.5, "quality=1": 0.5}, {"quality=0": 0.8, "quality=1": 0.2}])
+def test_rates_equal_a_bounded_solver(spark, targets):
+    """Rates are those nonnegative ones that are nearest to 1 and meet the targets: a brute-force solver by bisection on the multipliers' line."""
+    n = 120
+    rows = [(i, "good fine prose about rivers " * (1 + i % 5) if i % 4 else "spam click buy cheap pills " * (1 + i % 3)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, f"quality={int(i % 4 > 0)}") for i in range(0, n, 2)], "doc_id long, domain string")
+    got, reached = mixing.mix(docs, labels, targets, ["doc_id"])
+    found = got.select("mix_tokens", "mix_p", "mix_rate").toPandas()
+    p, tokens = np.stack(found.mix_p.to_numpy()), found.mix_tokens.to_numpy().astype(float)
+    goal = np.array([targets[d] for d in sorted(targets)]) * tokens.sum()
+    low, high = np.full(2, -50.0), np.full(2, 50.0)
+    for _ in range(200):  # r = max(0, 1 - p y); totals fall in each y: alternate bisection
+        for k in range(2):
+            a, b = -50.0, 50.0
+            for _ in range(60):
+                y = (low + high) / 2
+                y[k] = (a + b) / 2
+                a, b = (y[k], b) if (np.maximum(0, 1 - p @ y) * tokens) @ p[:, k] > goal[k] else (a, y[k])
+            low[k] = high[k] = (a + b) / 2
+    best = np.maximum(0, 1 - p @ low)
+    assert np.allclose((best * tokens) @ p, goal, rtol=1e-3) and np.allclose(found.mix_rate, best, atol=2e-2)
+
+
 def test_items_without_id_count_as_windows(spark):
     text = " ".join(f"w{i}" for i in range(12))
     docs = spark.createDataFrame([(1, "so " + text), (2, "short thing"), (3, "clean " * 12)], "doc_id long, text string")
