@@ -3,11 +3,13 @@ duplicates, drop benchmark leaks, mix to target weights, write token ids.
 
 Each stage gets the rows that its predecessor kept, as (spark, docs, sf_dir), and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
-Null and empty texts are not toxic, near duplicates of nothing, and free of leaks, so they stay.
+Null and empty texts are not toxic, near duplicates of nothing, and free of leaks, so they stay. Every row is decided by itself: rows that
+share a doc_id, or have none, each go or stay by their own text; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +27,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their own, row_key, written once: doc_id may be null or repeat."""
-    return saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), "pipeline-keyed")
+    """The rows with a key of their own, row_key, as doc_id may be null or repeat: a hash of file and place in it (two of N rows share one with
+    probability N*N/2**65). Rows that are in no file are written once with a number."""
+    try:
+        return docs.select(*COLUMNS, F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row_key"))
+    except AnalysisException:
+        return saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), "pipeline-keyed")
 
 
 def by_key(rows: DataFrame) -> DataFrame:
