@@ -28,10 +28,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 SUBSEQUENCE = 3
 DECAY = 0.6
 POWER = 3
@@ -226,26 +228,24 @@ def train_machine(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TR
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Machine(None, np.zeros(0), 0.0, 1.0, float(np.log(share / (1 - share))))
     marks = spark.sparkContext.broadcast(Landmarks(words))
+    own = marks.value.rows(words).astype(np.float64)
+    values, vectors = np.linalg.eigh((own + own.T) / 2)
+    nystrom = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(marks.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                yield pa.RecordBatch.from_pydict({"label": part.column("label"), "x": pa.array(list(scanner.rows(part.column("text").to_pylist()).astype(np.float64)), pa.list_(pa.float64()))})
+                z = scanner.rows(part.column("text").to_pylist()).astype(np.float64) @ nystrom
+                yield pa.RecordBatch.from_pydict({"label": part.column("label").cast(pa.float64()), "z": pa.array(list(z), pa.list_(pa.float64()))})
 
-    sample = train.mapInArrow(rows, "label int, x array<double>").toPandas()  # max_train rows of n_landmarks numbers
-    x, y = np.stack(sample["x"].to_numpy()), sample["label"].to_numpy()
-    own = marks.value.rows(words).astype(np.float64)
-    values, vectors = np.linalg.eigh((own + own.T) / 2)
-    nystrom = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-    z = x @ nystrom
-    points = spark.createDataFrame([(float(label), row.tolist()) for label, row in zip(y, z, strict=True)], "label double, z array<double>")
-    points = points.select("label", array_to_vector("z").alias("features"))
+    # the points stay a table; the driver sees a label and a margin of each
+    points = saved(train.mapInArrow(mapped, "label double, z array<double>"), "toxicity-points").select("label", array_to_vector("z").alias("features"))
     model = LinearSVC(maxIter=60, regParam=1e-3, standardization=False).fit(points)
-    weights = nystrom @ model.coefficients.toArray()
-    machine = Machine(marks.value, weights, float(model.intercept), 1.0, 0.0)
-    machine.slope, machine.offset = platt(machine.margin(x), y)
+    machine = Machine(marks.value, nystrom @ model.coefficients.toArray(), float(model.intercept), 1.0, 0.0)
+    margins = model.transform(points).select("label", vector_to_array("rawPrediction")[1].alias("margin")).toArrow()
+    machine.slope, machine.offset = platt(margins["margin"].to_numpy(), margins["label"].to_numpy())
     return machine
 
 
