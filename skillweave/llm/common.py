@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,11 +30,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it: cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+    """Writes df as a table in the shared folder and reads it: cuts lineage, survives lost executors.
+
+    Once it is written nothing reads the shuffles of its plan again, so their files go at once, not when the driver collects garbage.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     writer = df.write.partitionBy(*by) if by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def n_partitions(df: DataFrame, column: str, mb: int) -> int:
