@@ -81,8 +81,5 @@ ORACLE_SQL = None  # a trained classifier, a solver and a tokenizer: tests hold
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        path = fresh_path(spark, f"pipeline-{k}-{name}")
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{k}-{name}")
     return docs
