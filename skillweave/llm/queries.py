@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exactdedup, langid, mixing, ngramjoin, ppm, tokenbin, toxicity, warc
+from . import chat, decontaminate, exactdedup, langid, mixing, ngramjoin, ppm, qualityrules, tokenbin, toxicity, warc
 
 QUERIES = {
     "op1_token_ids": tokenbin.op1_token_ids,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exactdedup.op8_exact_dedup,
     "op9_lm_score": ppm.op9_lm_score,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_quality_rules": qualityrules.op11_quality_rules,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_chat_collapse": chat.OP4_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
     "op8_exact_dedup": exactdedup.OP8_SQL,
+    "op11_quality_rules": qualityrules.OP11_SQL,
 }

@@ -92,9 +92,10 @@ def slices(column: pa.Array, most: int = 1 << 62) -> Iterator[tuple[int, np.ndar
         a = b
 
 
-def words(column: pa.Array, alphabet: np.ndarray) -> Iterator[Words]:
+def words(column: pa.Array, alphabet: np.ndarray, fold: bool = True) -> Iterator[Words]:
+    """Words by slices, lower-cased unless ``fold`` is off."""
     for row, raw, offsets in slices(column):
-        data = LOWER[raw]
+        data = LOWER[raw] if fold else raw
         n = len(data)
         inside = np.zeros(n + 1, bool)
         inside[:n] = alphabet[data]
