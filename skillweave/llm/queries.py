@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exactdedup, langid, mixing, ngramjoin, ppm, qualityrules, tokenbin, toxicity, warc
+from . import chat, decontaminate, exactdedup, langid, merkle, mixing, ngramjoin, ppm, qualityrules, tokenbin, toxicity, warc
 
 QUERIES = {
     "op1_token_ids": tokenbin.op1_token_ids,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_score": ppm.op9_lm_score,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_quality_rules": qualityrules.op11_quality_rules,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op5_decontamination": decontaminate.OP5_SQL,
     "op8_exact_dedup": exactdedup.OP8_SQL,
     "op11_quality_rules": qualityrules.OP11_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }
