@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exactdedup, langid, merkle, mixing, ngramjoin, ppm, qualityrules, tokenbin, toxicity, warc
+from . import chat, decontaminate, exactdedup, langid, merkle, mixing, negatives, ngramjoin, ppm, qualityrules, tokenbin, toxicity, warc
 
 QUERIES = {
     "op1_token_ids": tokenbin.op1_token_ids,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_quality_rules": qualityrules.op11_quality_rules,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op8_exact_dedup": exactdedup.OP8_SQL,
     "op11_quality_rules": qualityrules.OP11_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }
