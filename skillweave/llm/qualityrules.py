@@ -80,8 +80,9 @@ def _repeated_lines(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     begins, ends = offsets[:-1][np.diff(offsets) > 0], offsets[1:][np.diff(offsets) > 0]
     last = np.zeros(n + 1, bool)
     last[ends - 1] = True
-    start = np.union1d(begins, breaks[~last[breaks]] + 1)
-    end = np.union1d(breaks, ends[raw[ends - 1] != 10])
+    # a break at the head of a document is where the one before ends, so both lists may hold it
+    start = np.sort(np.concatenate([begins, breaks[~last[breaks]] + 1]))
+    end = np.sort(np.concatenate([breaks, ends[raw[ends - 1] != 10]]))
     running = np.concatenate([[0], np.cumsum(SPACED[raw])])
     worded = running[end] > running[start]
     start, end = start[worded], end[worded]
