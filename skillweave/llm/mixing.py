@@ -176,9 +176,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: l
     return rows.withColumn("mix_rate", rate), dict(zip(model.domains, reached.tolist(), strict=True))
 
 
-def sampled(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """Each row as often as its rate says: the whole part, and one more with the probability of the rest, by a hash of its doc_id."""
-    u = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+def sampled(rows: DataFrame, keep: list[str], key: str = "doc_id") -> DataFrame:
+    """Each row as often as its rate says: the whole part, and one more with the probability of the rest, by a hash of ``key``. Rows are drawn
+    independently where their keys differ, so a caller whose ids may be null or repeat gives a key of its own."""
+    u = F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(F.col("mix_rate") + u).cast("int")
     return rows.filter(times >= 1).select(*keep, F.explode(F.sequence(F.lit(1), times)).alias("mix_copy")).drop("mix_copy")
 

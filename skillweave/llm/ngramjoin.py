@@ -349,9 +349,13 @@ def jaccard_components(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
         else:
             pairs = cross_candidates(placed, sketch)
         pairs = saved(pairs, "candidates")
-        new = verified(docs, pairs, classes, k)
+        new = None if pairs.isEmpty() else verified(docs, pairs, classes, k)
+        if new is None or new.isEmpty():
+            continue  # a round without a new link leaves all components as they are
         links = new if links is None else links.unionByName(new)
         comp = components(links)
+    if comp is None:
+        comp = docs.sparkSession.createDataFrame([], "cid long, comp long")
     named = comp.join(classes, "cid").groupBy("comp").agg(F.min("rep").alias("component_id"))
     placed = classes.select("cid", "rep").join(comp, "cid", "left").join(named, "comp", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
     out = sets.select("doc_id", "n", "cid").join(placed, "cid", "left")

@@ -261,7 +261,7 @@ def lm_scores(docs: DataFrame, *, order: int = ORDER, frequent_grams: int = FREQ
     costs = saved(seen_costs(levels[-1]), "gram-costs")
     codes, cost = most_frequent(costs, "cost", frequent_grams)
     by_code = np.argsort(codes)
-    codes, cost = codes[by_code], cost[by_code].astype(np.float32)
+    codes, cost = codes[by_code], cost[by_code]
     shared = spark.sparkContext.broadcast((codes, cost, frequent, often))
     del codes, cost, by_code, frequent, often
 

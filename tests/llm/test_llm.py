@@ -288,7 +288,7 @@ def test_lm_scores_equal_brute_force_at_every_cache_size(spark, cached):
     assert any(held)
     got = ppm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), frequent_grams=cached).collect()
     want = sorted((str(i), brute_force_ppm(train, t)) for i, t in rows)
-    assert np.allclose([s for _, s in sorted((str(r["doc_id"]), r["score"]) for r in got)], [s for _, s in want], atol=1e-4)
+    assert np.allclose([s for _, s in sorted((str(r["doc_id"]), r["score"]) for r in got)], [s for _, s in want], rtol=0, atol=1e-9)
 
 
 def test_lm_keeps_every_context(spark):
@@ -427,6 +427,12 @@ def test_stages_decide_on_each_row_whatever_its_id(spark, tmp_path):
     assert texts(cp.drop_near_duplicates(spark, rows, str(tmp_path))) == sorted([("1", a), ("2", b), ("3", c), ("None", "no ids " + c[::-1]), ("4", "")])
 
 
+def test_rows_are_drawn_one_by_one_whatever_their_ids(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") < 1000, F.lit(7)).cast("long").alias("doc_id"), F.col("id").alias("row_key"), F.lit(1.5).alias("mix_rate"))
+    got = {r.doc_id: r.n for r in mixing.sampled(rows, ["doc_id"], "row_key").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert set(got) == {7, None} and all(1430 < n < 1570 for n in got.values())
+
+
 def test_stages_of_an_empty_table_and_of_awkward_rows(spark, tmp_path):
     import corpus_pipeline as cp
 
