@@ -56,10 +56,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as their rates say. Rates are 1 at least, so no clean document is lost and what is short is repeated."""
+    """Rows as often as their rates say. Rates are 1 at least, so no clean document is lost and what is short is repeated. Each row is drawn by its own key;
+    the shares that the mix reaches stay beside its rows, as the table pipeline-mix-shares(domain, target, reached)."""
     labels = mixing.quality_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows, _ = mixing.mix(docs, labels, mixing.TARGETS, COLUMNS, low=1.0, budget=None)
-    return mixing.sampled(rows, COLUMNS)
+    rows, reached = mixing.mix(keyed(docs), labels, mixing.TARGETS, [*COLUMNS, "row_key"], low=1.0, budget=None)
+    shares = [(domain, float(mixing.TARGETS.get(domain, 0.0)), float(share)) for domain, share in reached.items()]
+    saved(spark.createDataFrame(shares, "domain string, target double, reached double"), "pipeline-mix-shares")
+    return mixing.sampled(rows, COLUMNS, "row_key")
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
