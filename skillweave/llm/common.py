@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +56,29 @@ def n_partitions(df: DataFrame, column: str, mb: int) -> int:
     return max(1, -(-total // (mb << 20)))
 
 
+def give_back() -> None:
+    """Hands free memory back to the system. Python workers live on after a task, beside the next stage's tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(scan):
+    """A function on the batches of a task that gives memory back when the task is done."""
+
+    @functools.wraps(scan)
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def lower_ascii(text):
     """Lower-cases A-Z only; the JVM's lower() serves texts that are all ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, tidy
 from .decontaminate import bit_set, in_bit_set
 from .textscan import SPACED, Words, mix, words
 
@@ -123,7 +123,7 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
                 n = np.diff(first)
                 yield pa.RecordBatch.from_arrays([names.slice(found.row, len(n)), pa.array(n), pa.array(class_keys(flat, first)), pa.array(sketches(flat, first), pa.binary())], ["doc_id", "n", "cid", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, n long, cid long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(scan), "doc_id long, n long, cid long, sketch binary")
 
 
 def prefix_rows(docs: DataFrame, k: int, hot: np.ndarray | None, broadcast=None) -> DataFrame:
@@ -146,7 +146,7 @@ def prefix_rows(docs: DataFrame, k: int, hot: np.ndarray | None, broadcast=None)
                 doc = doc[keep]
                 yield pa.RecordBatch.from_pydict({"h": flat[keep].view(np.int64), "cid": cid[doc], "n": pa.array(n[doc], pa.int32()), "rank": pa.array(rank[keep], pa.int32())})
 
-    return docs.select("text").mapInArrow(scan, "h long" if broadcast is None else "h long, cid long, n int, rank int")
+    return docs.select("text").mapInArrow(tidy(scan), "h long" if broadcast is None else "h long, cid long, n int, rank int")
 
 
 def hot_shingles(docs: DataFrame, k: int) -> np.ndarray:
@@ -270,7 +270,7 @@ def overlap_can_do(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({c: part.column(c).filter(pa.array(keep)) for c in ("a", "b")})
 
     a, b = (sketch.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(bound, "a long, b long")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(tidy(bound), "a long, b long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
@@ -287,7 +287,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int) -> D
                 flat, first = sets_of(found, k)
                 yield pa.RecordBatch.from_arrays([pa.array(class_keys(flat, first)), part.column("text").slice(found.row, len(first) - 1)], ["cid", "text"])
 
-    texts = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(fetch, "cid long, text string")
+    texts = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(tidy(fetch), "cid long, text string")
     texts = saved(texts.join(needed.select("cid"), "cid").groupBy("cid").agg(F.first("text").alias("text")), "pair-texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +309,7 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, k: int) -> D
                 yield pa.RecordBatch.from_pydict({c: part.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")})
 
     a, b = (texts.select(F.col("cid").alias(s), F.col("text").alias(f"text_{s}")) for s in "ab")
-    return saved(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "links")
+    return saved(pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(tidy(check), "a long, b long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, tidy
 
 SUBSEQUENCE = 3
 DECAY = 0.6
@@ -182,7 +182,7 @@ def choose_landmarks(train: DataFrame, most: int) -> list[str]:
     n0 = sum(r["count"] for r in sizes if r["label"] == 0)
     if not n0 or not n1:
         return []
-    both = train.mapInArrow(count, "unit string, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    both = train.mapInArrow(tidy(count), "unit string, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # the log-likelihood ratio of the table (with the unit or not) x (toxic or clean)
     term = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     n = float(n0 + n1)
@@ -241,7 +241,7 @@ def train_machine(docs: DataFrame, labels: DataFrame, *, max_train: int = MAX_TR
                 yield pa.RecordBatch.from_pydict({"label": part.column("label").cast(pa.float64()), "z": pa.array(list(z), pa.list_(pa.float64()))})
 
     # the points stay a table; the driver sees a label and a margin of each
-    points = saved(train.mapInArrow(mapped, "label double, z array<double>"), "toxicity-points").select("label", array_to_vector("z").alias("features"))
+    points = saved(train.mapInArrow(tidy(mapped), "label double, z array<double>"), "toxicity-points").select("label", array_to_vector("z").alias("features"))
     model = LinearSVC(maxIter=60, regParam=1e-3, standardization=False).fit(points)
     machine = Machine(marks.value, nystrom @ model.coefficients.toArray(), float(model.intercept), 1.0, 0.0)
     margins = model.transform(points).select("label", vector_to_array("rawPrediction")[1].alias("margin")).toArrow()
@@ -262,7 +262,10 @@ def toxicity_scores(docs: DataFrame, machine: Machine, keep: list[str]) -> DataF
                 margin[a : a + 500] = m.margin(scanner.rows(column.slice(a, 500).to_pylist()))
             yield pa.array(m.probability(margin))
 
-    score = F.arrow_udf(scores, "double").asNondeterministic()  # once per row, whatever is filtered later
+    def returned(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(scores)(columns)
+
+    score = F.arrow_udf(returned, "double").asNondeterministic()  # once per row, whatever is filtered later
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return docs.select(*keep, held.alias("held_out"), score("text").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
