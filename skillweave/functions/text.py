@@ -20,7 +20,8 @@ SENTENCE_END = r"[\n。！!]+|(?<!\d)\.(?!\d)"
 
 
 def squash(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")
+    """Without white space of any kind, that of ideographic texts too."""
+    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[\s\x1C-\x1F\x85\p{Z}]+", "")
 
 
 def strip_html(c: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gate import stripped
+
 MIN_CLUSTER = 3
 #: An intern's title, a title in ideographs.
 INTERN, IDEOGRAPHS = "(?i)实习|intern", "[一-鿿]"
@@ -18,7 +20,7 @@ def keep_title(title: Column, known: Column, least_letters: str = IDEOGRAPHS, n:
 
 def intake(rows: DataFrame) -> DataFrame:
     """rows(id, fingerprint, title_ok, body, ord) with what becomes of each: empty, title, repeat (a row with its fingerprint came before) or ingested."""
-    blank = F.trim(F.coalesce("body", F.lit(""))) == ""
+    blank = stripped(F.col("body")) == ""
     open_ = ~blank & F.coalesce("title_ok", F.lit(False))
     first = rows.filter(open_).groupBy("fingerprint").agg(F.min(F.struct("ord", "id"))["id"].alias("first"))
     out = rows.join(first, "fingerprint", "left")

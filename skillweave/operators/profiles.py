@@ -13,8 +13,10 @@ from ..functions.text import evidence_level, sentences
 
 # Marks of proficiency, units of experience, degrees, what a project sentence says.
 LEVEL_MARKS = "了解|熟练|精通|aware|able|expert|proficient"
-EXPERIENCE = r"(?i)\b(\d+)\s*(?:年|years?)\s*(?:工作|经验|experience)?"
-EDUCATION = r"(?i)\b(?:Bachelor|Master|PhD)\b|(?:博士|硕士|本科|大专)(?:学历|学位)?"
+# Words are letters, digits and the low line of any script, so an ideograph is no bound of a word.
+NO_WORD, GAP = r"[^\p{L}\p{N}_]", r"[\s\p{Z}]*"
+EXPERIENCE = rf"(?i)(?<![\p{{L}}\p{{N}}_])(\d+){GAP}(?:年|years?){GAP}(?:工作|经验|experience)?"
+EDUCATION = r"(?i)(?<![\p{L}\p{N}_])(?:Bachelor|Master|PhD)(?![\p{L}\p{N}_])|(?:博士|硕士|本科|大专)(?:学历|学位)?"
 PROJECT = "(?i)项目|project"
 LEVELS = ("mention", "use", "result")
 
@@ -43,7 +45,7 @@ def latin_surface(name: Column) -> Column:
 
 def marks_level(text: Column, name: Column) -> Column:
     """Whether a mark of proficiency stands right before the name."""
-    return F.regexp_like(F.coalesce(text, F.lit("")), F.concat(F.lit(rf"(?i)(?:{LEVEL_MARKS})\s*(?:掌握|使用|过)?\W{{0,12}}"), quoted(name)))
+    return F.regexp_like(F.coalesce(text, F.lit("")), F.concat(F.lit(rf"(?i)(?:{LEVEL_MARKS}){GAP}(?:掌握|使用|过)?{NO_WORD}{{0,12}}"), quoted(name)))
 
 
 def fields(text: Column) -> Column:

@@ -230,8 +230,8 @@ QUERIES = {
     "name_mentions": (name_mentions, W + NAMED + " SELECT skill, count(DISTINCT id) AS n_docs, count(*) AS n_sentences FROM nd GROUP BY skill"),
     "best_sentence": (best_sentence, W + NAMED + " SELECT id, skill, ['mention', 'use', 'result'][lev + 1] AS level, CASE WHEN regexp_matches(text, '(?i)project') THEN 'project' ELSE 'experience' END AS section, md5(text) AS text_md5, 'resume-evidence-' || substr(sha256(skill || ':' || text), 1, 16) AS fragment FROM fr"),
     "profile_fields": (profile_fields, r"""WITH d AS (SELECT doc_id, text || ' ' || (doc_id % 9) || CASE WHEN doc_id % 3 = 0 THEN ' years' ELSE ' 年经验 Master' END AS x FROM documents)
-SELECT doc_id, coalesce(nullif(regexp_extract(x, '(?i)\b(\d+)\s*(?:年|years?)\s*(?:工作|经验|experience)?', 1), '') || '年', '') AS experience, regexp_extract(x, '(?i)\b(?:Bachelor|Master|PhD)\b|(?:博士|硕士|本科|大专)(?:学历|学位)?') AS education FROM d"""),
-    "profile_skills": (profile_skills, W + NAMED + r""", mk AS (SELECT id, skill, max(CASE WHEN regexp_matches(sentence, '(?i)(了解|熟练|精通|aware|able|expert|proficient)\s*(掌握|使用|过)?\W{0,12}' || skill) THEN 1 ELSE 0 END) AS marked FROM nd GROUP BY id, skill),
+SELECT doc_id, coalesce(nullif(regexp_extract(x, '(?i)(?:^|[^\p{L}\p{N}_])(\d+)[\s\p{Z}]*(?:年|years?)', 1), '') || '年', '') AS experience, regexp_extract(x, '(?i)(?:^|[^\p{L}\p{N}_])(Bachelor|Master|PhD)(?:$|[^\p{L}\p{N}_])|((?:博士|硕士|本科|大专)(?:学历|学位)?)', 1) || regexp_extract(x, '(?i)(?:^|[^\p{L}\p{N}_])(Bachelor|Master|PhD)(?:$|[^\p{L}\p{N}_])|((?:博士|硕士|本科|大专)(?:学历|学位)?)', 2) AS education FROM d"""),
+    "profile_skills": (profile_skills, W + NAMED + r""", mk AS (SELECT id, skill, max(CASE WHEN regexp_matches(sentence, '(?i)(了解|熟练|精通|aware|able|expert|proficient)[\s\p{Z}]*(掌握|使用|过)?[^\p{L}\p{N}_]{0,12}' || skill) THEN 1 ELSE 0 END) AS marked FROM nd GROUP BY id, skill),
 al AS (SELECT id, skill AS s, 0 AS turn FROM nd WHERE NOT contains(skill, ' ') UNION ALL SELECT id, split_part(skill, ' ', 1), 1 FROM nd WHERE contains(skill, ' ')),
 mg AS (SELECT id, s AS skill, min(turn) AS turn FROM al GROUP BY id, s) SELECT mg.skill, turn, count(*) AS n_profiles, sum(marked) AS n_marked FROM mg JOIN mk ON mg.id = mk.id AND mg.skill = mk.skill GROUP BY mg.skill, turn"""),
     "intake_decisions": (intake_decisions, r"""WITH g AS (SELECT page_id AS id, url, regexp_extract(coalesce(html, ''), '(?is)<title>(.*?)</title>', 1) AS title,

@@ -60,3 +60,20 @@ def test_intake_expiry_and_clusters(spark):
     titles = spark.createDataFrame([(i, t) for i, t in enumerate("aaabbbccd")], "id long, title string")
     labels = spark.createDataFrame([("a", "alias", "z"), ("b", "noise", None), ("c", "new", None), ("d", "new", None)], "title string, label string, target string")
     assert {(r["job"], r["size"]) for r in c.merge_clusters(titles, labels).collect()} == {("z", 3)}
+
+
+def test_words_of_any_script_bound_marks_and_fields(spark):
+    """An ideograph is a letter: it neither bounds a number nor lies in the gap between a mark and a name."""
+    rows = spark.createDataFrame([("熟练掌握数据分析和Python",), ("了解业务，负责SQL",), ("熟练掌握　Python",), ("精通 (Python)",), ("able to use Python",), ("proficient: Python",)], "t string")
+    assert [r.m for r in rows.select(p.marks_level(F.col("t"), F.when(F.contains("t", F.lit("SQL")), "SQL").otherwise("Python")).alias("m")).collect()] == [False, False, True, True, False, True]
+    told = spark.createDataFrame([("经验3年",), ("经验 3　年",), ("5 years experience, PhD",), ("xMaster",), ("硕士学位",), ("他是Master",), (None,)], "t string")
+    assert [tuple(r.f) for r in told.select(p.fields(F.col("t")).alias("f")).collect()] == [("", ""), ("3年", ""), ("5年", "PhD"), ("", ""), ("", "硕士学位"), ("", ""), ("", "")]
+
+
+def test_white_space_of_any_kind_is_blank(spark):
+    from skillweave.functions import text
+    from skillweave.operators import curation
+
+    rows = spark.createDataFrame([(1, "a", True, " \n\t\r　\xa0", 1), (2, "b", True, "　x\n", 2)], "id int, fingerprint string, title_ok boolean, body string, ord int")
+    assert {r.id: r.decision for r in curation.intake(rows).collect()} == {1: "empty", 2: "ingested"}
+    assert rows.select(text.squash(F.lit("公 司　甲\xa0")).alias("x")).first().x == "公司甲"
