@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,24 +96,84 @@ def missing_endpoints(edges: DataFrame, column: str, nodes: DataFrame, key: str)
     return edges.join(nodes.select(F.col(key).alias(column)).distinct(), column, "left_anti")
 
 
-def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, period: str) -> str:
-    """Writes the tables as an immutable release named by its content, then moves the pointer. The same content gives the same release."""
+def publish(spark: SparkSession, tables: dict[str, DataFrame], root: str, period: str, expected: int | None = None) -> str:
+    """Writes the tables as an immutable release named by its content, then appends it to the release log. The same content gives the same release, which is never
+    written twice: a reader of it is not disturbed."""
     parts = []
     for name, rows in sorted(tables.items()):
         h = rows.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*rows.columns)).alias("h")).first()
         parts.append(f"{name}:{h['n']}:{h['h']}")
     release = spark.range(1).select(F.substring(F.sha2(F.lit(f"{period}|{'|'.join(parts)}"), 256), 1, 16).alias("id")).first()["id"]
     for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{root}/release_id={release}/{name}")
-    point(spark, root, release)
+        at = f"{root}/release_id={release}/{name}"
+        if not _exists(spark, f"{at}/_SUCCESS"):
+            rows.write.mode("overwrite").parquet(at)
+    point(spark, root, release, expected=expected)
     return release
 
 
-def point(spark: SparkSession, root: str, release: str) -> None:
-    """Moves the public pointer: publishing and rollback alike."""
-    spark.createDataFrame([(release,)], "release_id string").coalesce(1).write.mode("overwrite").parquet(f"{root}/pointer")
+class ReleaseConflict(RuntimeError):
+    """Another writer has moved the log on."""
+
+
+def _path(spark: SparkSession, uri: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, uri: str) -> bool:
+    path, fs = _path(spark, uri)
+    return fs.exists(path)
+
+
+LOG = "seq long, release_id string, action string"
+
+
+def release_log(spark: SparkSession, root: str) -> DataFrame:
+    """seq, release_id, action: every publication and rollback, an entry each."""
+    if not _exists(spark, f"{root}/pointer"):
+        return spark.createDataFrame([], LOG)
+    return spark.read.schema(LOG).json(f"{root}/pointer").filter("seq is not null")
+
+
+def point(spark: SparkSession, root: str, release: str, action: str = "publish", expected: int | None = None) -> int:
+    """Appends an entry to the log and returns its number; nothing is overwritten, so a reader always finds a release.
+
+    expected: the last entry that the caller knows of; if the log has moved on, or another writer takes the same number, ReleaseConflict is raised. That a number is taken
+    once rests on the file system, which creates a file that must not exist in one step (local ones and HDFS do). An entry whose writer died before its line was
+    written is empty: it holds its number and counts for nothing.
+    """
+    path, fs = _path(spark, f"{root}/pointer")
+    taken = [int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit()] if fs.exists(path) else []
+    last = max(taken, default=0)
+    if expected is not None and last != expected:
+        raise ReleaseConflict(f"the log is at {last}, not at {expected}")
+    entry, _ = _path(spark, f"{root}/pointer/{last + 1:012d}")
+    try:
+        out = fs.create(entry, False)
+    except Exception as error:
+        if fs.exists(entry):
+            raise ReleaseConflict(f"entry {last + 1} is taken") from error
+        raise
+    try:
+        out.write(bytearray((json.dumps({"seq": last + 1, "release_id": release, "action": action}) + "\n").encode()))
+    finally:
+        out.close()
+    return last + 1
+
+
+def rollback(spark: SparkSession, root: str, release: str, expected: int | None = None) -> int:
+    """Makes an earlier release the public one: an entry like any other."""
+    if not release_log(spark, root).filter(F.col("release_id") == release).take(1):
+        raise ValueError(f"no release {release}")
+    return point(spark, root, release, "rollback", expected)
+
+
+def current_release(spark: SparkSession, root: str) -> str | None:
+    return release_log(spark, root).agg(F.max_by("release_id", "seq")).first()[0]
 
 
 def read_release(spark: SparkSession, root: str, name: str, release: str | None = None) -> DataFrame:
-    release = release or spark.read.parquet(f"{root}/pointer").first()["release_id"]
+    """A table of a release, by default of the public one: the caller's pinned name stays readable whatever is published meanwhile."""
+    release = release or current_release(spark, root)
     return spark.read.parquet(f"{root}/release_id={release}/{name}")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skillweave.operators import curate, definitions, gate
+from skillweave.operators import curate, definitions, gate, release
 
 REQUIRES = "job long, skill string, name string, kind string, group_id string, min_required int, sources array<string>, excerpt string"
 CLAIMS = "job long, claim string, text string, excerpt string, sources array<string>"
@@ -207,3 +207,39 @@ def test_curating_twice_changes_nothing(spark):
     assert {r.change for r in second.collect()} == {"kept", "past"}
     assert sorted(map(str, second.drop("change").collect())) == sorted(map(str, state.drop("change").collect()))
     assert {r.change for r in state.collect()} >= {"opened", "expired"}
+
+
+def test_release_log_is_appended_and_detects_conflicts(spark, tmp_path):
+    root = str(tmp_path / "releases")
+    assert release.current_release(spark, root) is None and release.release_log(spark, root).collect() == []
+    first = release.publish(spark, {"t": spark.range(3)}, root, "p1", expected=0)
+    pinned = release.read_release(spark, root, "t")
+    second = release.publish(spark, {"t": spark.range(5)}, root, "p2")
+    assert first != second and pinned.count() == 3 and release.read_release(spark, root, "t").count() == 5
+    with pytest.raises(release.ReleaseConflict):
+        release.publish(spark, {"t": spark.range(6)}, root, "p3", expected=1)
+    assert release.current_release(spark, root) == second
+    assert release.rollback(spark, root, first, expected=2) == 3 and release.read_release(spark, root, "t").count() == 3
+    assert release.publish(spark, {"t": spark.range(5)}, root, "p2") == second and release.current_release(spark, root) == second
+    assert [(r.seq, r.release_id, r.action) for r in release.release_log(spark, root).orderBy("seq").collect()] == [(1, first, "publish"), (2, second, "publish"), (3, first, "rollback"), (4, second, "publish")]
+    # a writer that died before it wrote its line leaves an empty entry: readers still find a release, the next number is free
+    (tmp_path / "releases" / "pointer" / f"{5:012d}").touch()
+    assert release.current_release(spark, root) == second and release.point(spark, root, first) == 6 and release.current_release(spark, root) == first
+    with pytest.raises(ValueError, match="no release"):
+        release.rollback(spark, root, "unknown")
+
+
+def test_two_writers_cannot_take_one_entry(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "releases")
+    release.point(spark, root, "a")
+    real = release._path
+
+    def late(s, uri):
+        if uri.endswith(f"{2:012d}"):  # another writer takes the number between the listing and the entry
+            (tmp_path / "releases" / "pointer" / f"{2:012d}").write_text('{"seq": 2, "release_id": "b", "action": "publish"}\n')
+        return real(s, uri)
+
+    monkeypatch.setattr(release, "_path", late)
+    with pytest.raises(release.ReleaseConflict):
+        release.point(spark, root, "c")
+    assert release.current_release(spark, root) == "b"
