@@ -1,7 +1,6 @@
 """From the text of a profile to its skills: names in texts, levels, the strongest sentence per skill, fields, merging, grounding.
 
-Names and texts meet through one key of each name, a whole word or an ideograph that the text must hold, and the exact rule is checked on
-these pairs alone; a name that many texts hold is split by adaptive execution.
+Names are found by one automaton that runs over each sentence in its place, so only sentences that hold a name become rows.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import evidence_level, sentences
+from . import phrases
 
 # Marks of proficiency, units of experience, degrees, what a project sentence says.
 LEVEL_MARKS = "了解|熟练|精通|aware|able|expert|proficient"
@@ -56,22 +56,17 @@ def fields(text: Column) -> Column:
 
 
 def surfaces(vocabulary: DataFrame) -> DataFrame:
-    """skill, ord, name, first of the usable names and synonyms of vocabulary(skill, name, synonyms, ord), with the key that texts are found by."""
-    every = vocabulary.select("skill", "ord", F.posexplode(F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("pos", "name")).filter(usable_surface(F.col("name")))
-    low = F.lower("name")
-    key = F.when(low.rlike("[一-鿿]"), F.regexp_extract(low, "[一-鿿]", 0)).otherwise(F.regexp_extract(low, "[a-z0-9_]+", 0))
-    return every.select("skill", "ord", "pos", "name", key.alias("key")).filter("key <> ''")
-
-
-def keys_of(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9_]+|[一-鿿])"), F.lit(1)))
+    """skill, pos, name of the usable names and synonyms of vocabulary(skill, name, synonyms, ord)."""
+    return vocabulary.select("skill", F.posexplode(F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("pos", "name")).filter(usable_surface(F.col("name")))
 
 
 def named_sentences(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """id, skill, pos, name, place, sentence: each sentence of texts(id, text) that holds a usable name."""
-    parts = texts.select("id", F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
-    keyed = parts.withColumn("key", F.explode(keys_of(F.col("sentence"))))
-    return keyed.join(surfaces(vocabulary), "key").filter(name_in_text(F.col("name"), F.col("sentence"))).drop("key", "ord")
+    """id, skill, pos, name, place, sentence: each sentence of texts(id, text) that holds a usable name.
+
+    Sentences end at full stops, so names that hold one are found in whole texts alone (``phrases.mentions``)."""
+    parts = texts.select("id", F.posexplode(sentences(F.col("text"))).alias("place", "text"))
+    found = phrases.find(parts, surfaces(vocabulary), fold=phrases.lowered)
+    return found.select("id", "skill", "pos", "name", "place", F.col("text").alias("sentence"))
 
 
 def fragments(named: DataFrame, result: str | None = None, use: str | None = None) -> DataFrame:

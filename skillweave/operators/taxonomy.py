@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine
+from . import vectors
 
 # Full-width and typographic signs and what they stand for.
 MARKS_FROM, MARKS_TO = "（）【】，。：；！？、“”‘’／　", "()[],.:;!?,\"\"''/ "
@@ -31,11 +31,10 @@ def align_exact(mentions: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def align_similar(queries: DataFrame, vocabulary: DataFrame, threshold: float = 0.70) -> DataFrame:
     """The most similar vocabulary vector (skill, vector, ord) of each query(id, vector) at or over the threshold; the earliest of equals.
 
-    The vocabulary is a stated, bounded table (one row per skill) that every query is held against.
+    The vocabulary is a stated table (one row per skill) that every query is held against, in blocks of matrix products.
     """
-    pairs = queries.join(vocabulary).withColumn("sim", cosine(F.col("vector"), F.col("skill_vector")))
-    best = pairs.groupBy("id").agg(F.max_by(F.struct("skill", "sim"), F.struct("sim", -F.col("ord"))).alias("best"))
-    return best.select("id", F.when(F.col("best.sim") >= threshold, F.col("best.skill")).alias("skill"), F.col("best.sim").alias("sim"))
+    best = vectors.nearest(queries, vocabulary)
+    return best.select("id", F.when(F.col("sim") >= threshold, F.col("skill")).alias("skill"), "sim")
 
 
 def tokens(text: Column) -> Column:
