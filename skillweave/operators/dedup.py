@@ -44,14 +44,19 @@ def simhash(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.arrow_udf(token_votes, "long")(simhash_tokens(F.col(text))).alias("simhash"))
 
 
-def near_classes(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct hashes at most DISTANCE bits apart."""
+def class_keys(classes: DataFrame) -> DataFrame:
+    """simhash, blocks, bits: the keys of each class, of which near classes share one at least, and a class all with itself."""
     ends = np.cumsum(WIDTHS)
     blocks = [((1 << w) - 1) << int(e - w) for w, e in zip(WIDTHS, ends, strict=True)]
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
     masks = [signed(sum(c)) for c in combinations(blocks, 3)]
     key = F.explode(F.array(*[F.struct(F.lit(k).alias("blocks"), F.col("simhash").bitwiseAND(m).alias("bits")) for k, m in enumerate(masks)]))
-    keys = classes.select("simhash", key.alias("key")).select("simhash", "key.*")
+    return classes.select("simhash", key.alias("key")).select("simhash", "key.*")
+
+
+def near_classes(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct hashes at most DISTANCE bits apart."""
+    keys = class_keys(classes)
     other = keys.withColumnRenamed("simhash", "b")
     pairs = keys.withColumnRenamed("simhash", "a").join(other, ["blocks", "bits"]).filter("a < b").filter(hamming(F.col("a"), F.col("b")) <= DISTANCE)
     return pairs.select("a", "b").distinct()
