@@ -19,6 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..sources.shared import saved
 
 BOUND = 262_144
+#: Characters of copied texts, and rows, that leave a task at once.
+PIECE, PIECE_ROWS = 4_000_000, 10_000
 # Typographic signs and what they stand for.
 SIGNS = str.maketrans({"，": ",", "。": ".", "：": ":", "；": ";", "（": "(", "）": ")", "／": "/"})
 WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_")
@@ -78,12 +80,14 @@ def places(machine, blob: str, bounded: bool = True) -> dict[int, list[int]]:
     return found
 
 
-def find(texts: DataFrame, names: DataFrame, fold=folded, bounded: bool = True, bound: int = BOUND) -> DataFrame:
-    """A row per text and name that it holds: the columns of texts(text, ...), those of names(name, ...), ``first`` place and number ``n`` of
-    places in the folded text. Columns of both carry different names; equal names of several rows are all found."""
+def find(texts: DataFrame, names: DataFrame, fold=folded, bounded: bool = True, bound: int = BOUND, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """A row per text and name that it holds: the columns ``keep`` of texts(text, ...), those of names(name, ...), ``first`` place and number ``n``
+    of places in the folded text. Columns of both carry different names; equal names of several rows are all found. A text is copied to its rows only
+    if it is kept, and rows leave the task in pieces of bounded size."""
     size = names.count()
-    schema = T.StructType([*texts.schema.fields, *names.schema.fields, T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())])
-    arrow, place = to_arrow_schema(schema), texts.columns.index("text")
+    kept = [texts.schema[c] for c in keep]
+    schema = T.StructType([*kept, *names.schema.fields, T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())])
+    arrow, source = to_arrow_schema(schema), texts.select(*{*keep, "text"})
     parts = max(1, -(-size // bound))
     cut = names.withColumn("__part", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int"))
     out = None
@@ -97,15 +101,29 @@ def find(texts: DataFrame, names: DataFrame, fold=folded, bounded: bool = True,
 
         def scan(batches, forms=forms, rows=rows):
             machine = automaton(forms) if forms else None
+
+            def piece(batch, at, got):
+                own = batch.select(list(keep)).take(pa.array(at, pa.int64())).columns
+                rest = [pa.array([r[i] for r in got], t.type) for i, t in enumerate(list(arrow)[len(keep) :])]
+                return pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(own, arrow, strict=False)] + rest, schema=arrow)
+
             for batch in batches:
-                got = []
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) if machine else ():
-                    if row[place]:
-                        for k, (first, n) in sorted(places(machine, fold(row[place]), bounded).items()):
-                            got.extend((*row, *name, first, n) for name in rows[forms[k]])
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], t.type) for i, t in enumerate(arrow)], schema=arrow)
-
-        each = texts.mapInArrow(scan, schema)
+                column, at, got, weight = batch.column("text"), [], [], 0
+                for i in range(batch.num_rows if machine else 0):
+                    text = column[i].as_py()
+                    for k, (first, n) in sorted(places(machine, fold(text), bounded).items()) if text else ():
+                        for name in rows[forms[k]]:
+                            at.append(i)
+                            got.append((*name, first, n))
+                            weight += len(text) if "text" in keep else 1
+                            if weight >= PIECE or len(at) >= PIECE_ROWS:
+                                yield piece(batch, at, got)
+                                at, got, weight = [], [], 0
+                if at:
+                    yield piece(batch, at, got)
+                pa.default_memory_pool().release_unused()
+
+        each = source.mapInArrow(scan, schema)
         each = saved(each, "phrases") if parts > 1 else each
         out = each if out is None else out.unionByName(each)
     return out

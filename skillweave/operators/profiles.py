@@ -65,7 +65,7 @@ def named_sentences(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
     Sentences end at full stops, so names that hold one are found in whole texts alone (``phrases.mentions``)."""
     parts = texts.select("id", F.posexplode(sentences(F.col("text"))).alias("place", "text"))
-    found = phrases.find(parts, surfaces(vocabulary), fold=phrases.lowered)
+    found = phrases.find(parts, surfaces(vocabulary), fold=phrases.lowered, keep=("id", "place", "text"))
     return found.select("id", "skill", "pos", "name", "place", F.col("text").alias("sentence"))
 
 
