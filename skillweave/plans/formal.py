@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import approval as a
 from ..operators import curate as c
 from ..operators import definitions as d
 from ..operators import gate as g
@@ -165,6 +166,45 @@ SELECT x.job, x.claim, CASE WHEN status = 'repaired' THEN substring(said, 1, ins
        len(sources) = 0 OR (status <> 'lost' AND n_fragments > 0 AND NOT EXISTS (SELECT 1 FROM cited c WHERE c.job = x.job AND c.claim = x.claim AND coalesce(retracted, TRUE))) AS passes
 FROM fixed x"""
 
+def proposed_events(spark, sf_dir):
+    """The last four documents of a job propose what they quote: some without a kind, the last of them events of another sort."""
+    rows = quoted_requirements(spark, sf_dir).filter("doc_id % 16 >= 12")
+    return rows.select(
+        "job", F.expr("concat(doc_id, '/', skill)").alias("id"), F.expr("if(doc_id % 16 = 15, 'note', 'requires_add')").alias("event"), "skill", "name",
+        F.expr("if(doc_id % 16 = 13 and job % 4 = 3, null, kind)").alias("proposed_kind"), "group_id", "min_required", "sources", "excerpt",
+    )
+
+
+def _approval(spark, sf_dir):
+    """What is in force are the other documents' requirements. A ninth of the jobs has its batch in the log, an eighth a reason for growth."""
+    rows, pending = quoted_requirements(spark, sf_dir).filter("doc_id % 16 < 12"), proposed_events(spark, sf_dir)
+    decided = a.batches(pending).filter("job % 9 = 3").select("batch")
+    overrides = jobs(spark, sf_dir).filter("job % 8 = 2").select("job", F.lit("new team").alias("reason"))
+    return pending, a.what_if(pending, rows, quoted_claims(spark, sf_dir), evidence(spark, sf_dir), rows.filter("job % 4 <> 2 or doc_id % 16 < 3"), overrides, decided)
+
+
+def approval_what_if(spark, sf_dir):
+    return _approval(spark, sf_dir)[1]
+
+
+def approval_events(spark, sf_dir):
+    return a.reviewed(*_approval(spark, sf_dir)).select("job", "id", "review", "approved_kind")
+
+
+APPROVAL_SQL = (
+    (ROLES_SQL.replace("\nreqs AS (", "\nevery AS (") + """,
+pend AS (SELECT *, doc_id || '/' || skill AS id, CASE WHEN doc_id % 16 = 15 THEN 'note' ELSE 'requires_add' END AS event, CASE WHEN doc_id % 16 = 13 AND job % 4 = 3 THEN NULL ELSE kind END AS proposed_kind FROM every WHERE doc_id % 16 >= 12),
+reqs AS (SELECT * FROM every WHERE doc_id % 16 < 12 UNION ALL SELECT * EXCLUDE (id, event, proposed_kind) FROM pend WHERE event = 'requires_add' AND proposed_kind IS NOT NULL),""" + GATE_SQL)
+    .replace("reqs WHERE job % 4 <> 1 OR doc_id % 16 < 3", "every WHERE doc_id % 16 < 12 AND (job % 4 <> 2 OR doc_id % 16 < 3)").replace("job % 8 <> 1", "job % 8 <> 2")
+    + f""",
+lab AS (SELECT * FROM (VALUES {_LABELS}) t(code, label, k)),
+codes AS (SELECT job, string_agg(code, ',' ORDER BY k) AS codes, bool_and(code LIKE '%anomaly') AS growth FROM (SELECT DISTINCT job, code FROM found) JOIN lab USING (code) GROUP BY job),
+bat AS (SELECT job, n_pending, n_unresolved, 'bulk-' || substring(sha256(concat_ws('|', job, 'pending', n_pending, x, s)), 1, 24) AS batch FROM (
+  SELECT job, count(*) AS n_pending, count(*) FILTER (event = 'requires_add' AND proposed_kind IS NULL) AS n_unresolved, bit_xor(CAST('0x' || substring(md5(id), 1, 15) AS BIGINT)) AS x, CAST(sum(CAST('0x' || substring(md5(id), 16, 15) AS BIGINT)) AS HUGEINT) AS s FROM pend GROUP BY job)),
+outc AS (SELECT b.job, n_pending, batch, n_unresolved, coalesce(codes, '') AS codes,
+  CASE WHEN b.job % 9 = 3 THEN 'repeated' WHEN n_unresolved > 0 THEN 'unresolved' WHEN codes IS NULL THEN 'approved' WHEN growth THEN 'reason_needed' ELSE 'blocked' END AS outcome FROM bat b LEFT JOIN codes c ON c.job = b.job)"""
+)
+
 
 def approved_events(spark, sf_dir):
     """An event per document that quotes it, some with other spacing, some paraphrased."""
@@ -283,6 +323,8 @@ QUERIES = {
     "gate_full": (gate_full, W + ROLES_SQL + "," + GATE_SQL + " SELECT * FROM found"),
     "gate_verdicts": (gate_verdicts, W + ROLES_SQL + "," + GATE_SQL + VERDICT_SQL),
     "claim_repair": (claim_repair, W + ROLES_SQL + REPAIR_SQL),
+    "approval_what_if": (approval_what_if, W + APPROVAL_SQL + " SELECT * FROM outc"),
+    "approval_events": (approval_events, W + APPROVAL_SQL + " SELECT job, id, CASE WHEN outcome IN ('approved', 'repeated') THEN 'approved' ELSE 'pending' END AS review, CASE WHEN outcome IN ('approved', 'repeated') THEN proposed_kind END AS approved_kind FROM pend JOIN outc USING (job)"),
     "definition_assembly": (definition_assembly, W + DEFINITION_SQL),
     "curation_selected": (curation_selected, "WITH RECURSIVE " + CURATION_SQL + SELECTED_SQL),
     "curation_state": (curation_state, "WITH RECURSIVE " + CURATION_SQL + STATE_SQL),
