@@ -45,9 +45,9 @@ def labelled(spark, sf_dir):
     return rows.select(F.col("vec_id").alias("id"), name.alias("name"), F.col("embedding").alias("vector"), (F.col("vec_id") % 7 == 0).alias("candidate")), vocab
 
 
-def aligned(spark, sf_dir):
+def aligned(spark, sf_dir, threshold=LIKE):
     rows, vocab = labelled(spark, sf_dir)
-    return vectors.align_rows(rows, vocab, LIKE, [("like 1", "label 2"), ("label 4", "like 3")])
+    return vectors.align_rows(rows, vocab, threshold, [("like 1", "label 2"), ("label 4", "like 3")])
 
 
 def align_rows(spark, sf_dir):
