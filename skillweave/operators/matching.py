@@ -96,16 +96,33 @@ def gaps(requirements: DataFrame, skills: DataFrame) -> DataFrame:
 
 
 def shift_set(requirements: DataFrame, skills: DataFrame) -> DataFrame:
-    """The shortest run of gap units, largest gain first, that lifts a pair to the next band: resume, job, unit, kind, step, reached."""
-    rows = pair_units(requirements, skills).withColumn("cut", next_cut(F.col("score"))).filter("cut is not null")
+    """The shortest run of gap units, largest gain first, that lifts a pair to the next band: resume, job, unit, kind, step, reached.
+
+    What a unit adds when nothing of it is held is a property of the job, so a job's units are sorted once; a pair leaves out what it covers and
+    sorts anew only if it covers a unit in part. One fold counts the steps, another follows these alone."""
+    own = units(requirements)
+    key = F.concat_ws("|", "kind", "unit")
+    got = lambda k: F.sum(F.when(F.col("kind") == k, F.col("cover")).otherwise(0.0))
+    part = F.collect_list(F.when(F.col("cover") < F.col("least"), F.struct("unit", "kind", (F.col("least") - F.col("cover")).alias("open"))))
+    pairs = covered_units(own, skills).groupBy("job", "resume").agg(got("required").alias("cov_req"), got("bonus").alias("cov_bonus"), F.collect_list(key).alias("keys"), part.alias("part"))
     whole = F.col("full_req") + BONUS_WEIGHT * F.col("full_bonus")
-    gain = lambda g: F.round((1 - g["cover"]) * g["least"] * F.when(g["kind"] == "bonus", BONUS_WEIGHT).otherwise(1.0) * 100 / whole, 6)
-    ordered = F.array_sort(F.transform("gaps", lambda g: F.struct((-gain(g)).alias("loss"), g["unit"].alias("unit"), g["kind"].alias("kind"))))
-    none = F.array().cast("array<struct<unit:string,kind:string,reached:double>>")
-    step = lambda run, g: F.struct((run["at"] - g["loss"]).alias("at"), F.concat(run["path"], F.array(F.struct(g["unit"].alias("unit"), g["kind"].alias("kind"), F.round(run["at"] - g["loss"], 4).alias("reached")))).alias("path"))
-    run = F.aggregate(ordered, F.struct(F.col("score").alias("at"), none.alias("path")), lambda run, g: F.when(run["at"] < F.col("cut") - 1e-5, step(run, g)).otherwise(run))
-    rows = rows.select("resume", "job", "cut", run.alias("run")).filter(F.col("run.at") >= F.col("cut") - 1e-5)
-    return rows.select("resume", "job", F.posexplode("run.path").alias("pos", "p")).select("resume", "job", "p.unit", "p.kind", (F.col("pos") + 1).alias("step"), "p.reached")
+    loss = lambda open_, kind: -F.round(open_ * F.when(kind == "bonus", BONUS_WEIGHT).otherwise(1.0) * 100 / whole, 6)
+    totals = unit_totals(own)
+    each = own.groupBy("job", "kind", "unit").agg(F.max("min_required").alias("least")).join(totals, "job")
+    arrays = each.groupBy("job").agg(F.array_sort(F.collect_list(F.struct(loss(F.col("least"), F.col("kind")).alias("loss"), "unit", "kind", key.alias("key")))).alias("units"))
+    rows = pairs.join(totals.join(arrays, "job"), "job")
+    rows = rows.withColumn("score", F.round(score(*(F.col(c) for c in ("cov_req", "cov_bonus", "full_req", "full_bonus"))), 6)).withColumn("cut", next_cut(F.col("score"))).filter("cut is not null")
+    absent = F.filter("units", lambda u: ~F.array_contains("keys", u["key"]))
+    partly = F.transform("part", lambda p: F.struct(loss(p["open"], p["kind"]).alias("loss"), p["unit"].alias("unit"), p["kind"].alias("kind"), F.concat_ws("|", p["kind"], p["unit"]).alias("key")))
+    rows = rows.select("resume", "job", "score", "cut", F.when(F.size("part") == 0, absent).otherwise(F.array_sort(F.concat(absent, partly))).alias("ordered"))
+    short = lambda at: at < F.col("cut") - 1e-5
+    count = F.aggregate("ordered", F.struct(F.col("score").alias("at"), F.lit(0).alias("n")), lambda run, g: F.when(short(run["at"]), F.struct((run["at"] - g["loss"]).alias("at"), (run["n"] + 1).alias("n"))).otherwise(run))
+    done = F.when(short(F.col("run.at")), 0).otherwise(F.col("run.n"))
+    rows = rows.withColumn("run", count).withColumn("path", F.slice("ordered", F.lit(1), done))
+    reached = F.slice(F.aggregate("path", F.array("score"), lambda run, g: F.array_append(run, F.element_at(run, -1) - g["loss"])), F.lit(2), F.greatest(F.lit(1), F.size("path")))
+    zipped = F.arrays_zip(F.col("path.unit").alias("unit"), F.col("path.kind").alias("kind"), reached.alias("reached"))
+    rows = rows.select("resume", "job", F.posexplode_outer(zipped).alias("pos", "p")).filter("pos is not null")  # a filter before it would work all folds out twice
+    return rows.select("resume", "job", "p.unit", "p.kind", (F.col("pos") + 1).alias("step"), F.round("p.reached", 4).alias("reached"))
 
 
 def simulate(requirements: DataFrame, skills: DataFrame, assumed: DataFrame) -> DataFrame:

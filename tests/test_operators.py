@@ -58,6 +58,41 @@ def test_shift_set_is_shortest_prefix(spark):
     assert len(got) == 3 and got[-1]["reached"] >= 35
 
 
+def test_shift_set_of_a_unit_held_in_part(spark):
+    """One member of a group of two is held: the other one is still a gain, and lifts the pair."""
+    rows = spark.createDataFrame([*(requirement(1, s, group="g", least=2) for s in (1, 2, 3)), requirement(1, 9, "bonus")], REQ)
+    skills = spark.createDataFrame([(7, 1, 3)], "resume long, skill long, held int")
+    got = [tuple(r) for r in matching.shift_set(rows, skills).collect()]  # 1 of 2.3: 43.48
+    assert got == [(7, 1, "g:g", "required", 1, pytest.approx(100 * 2 / 2.3, abs=1e-3))]
+
+
+def test_shift_set_equals_a_loop(spark):
+    draw = random.Random(3)
+    rows = [requirement(j, s, draw.choice(["required", "bonus"]), draw.choice([None, 1, 2, 3])) for j in range(6) for s in draw.sample(range(20), draw.randrange(1, 14))]
+    skills = [(p, s, draw.randrange(1, 4)) for p in range(8) for s in draw.sample(range(20), draw.randrange(8))]
+    want, held = [], {(p, s): h for p, s, h in skills}
+    for j in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == j]
+        whole = sum(1.0 if r[2] == "required" else 0.3 for r in own)
+        for p in range(8):
+            left, at, shared = [], 0.0, False
+            for _, s, kind, level, *_ in own:
+                h, w = held.get((p, s)), 1.0 if kind == "required" else 0.3
+                shared |= h is not None
+                cover = 0.0 if h is None else 1.0 if kind == "bonus" or level is None or h >= level else 0.5
+                at += 100 * w * cover / whole
+                if cover < 1:
+                    left.append((-round((1 - cover) * w * 100 / whole, 6), f"s:{s}", kind))
+            cut = next((c for c in (35, 60, 85) if round(at, 6) < c), None)
+            for step, (loss, unit, kind) in enumerate(sorted(left) if cut and shared else [], 1):
+                if at >= cut - 1e-5:
+                    break
+                at -= loss
+                want.append((p, j, unit, kind, step, round(at, 2)))
+    got = matching.shift_set(spark.createDataFrame(rows, REQ), spark.createDataFrame(skills, "resume long, skill long, held int")).collect()
+    assert want and sorted((*r[:5], round(r[5], 2)) for r in got) == sorted(want)
+
+
 def test_status(spark):
     rows = [(2, 2, 10, True, False, "candidate"), (3, 3, 10, True, False, "emerging"), (3, 10, 10, True, True, "formed"), (3, 3, 200, True, True, "formed"), (3, 10, 10, False, True, "candidate")]
     df = spark.createDataFrame(rows, "w long, t long, s long, j boolean, d boolean, want string")
