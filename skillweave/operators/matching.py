@@ -57,20 +57,22 @@ def covered_units(of_units: DataFrame, skills: DataFrame) -> DataFrame:
     return n.select("job", "resume", "kind", "unit", (F.least("whole", "least") + 0.5 * F.least(F.col("half"), F.greatest(F.lit(0), F.col("least") - F.col("whole")))).alias("cover"), "least")
 
 
-def pair_units(requirements: DataFrame, skills: DataFrame) -> DataFrame:
-    """One row per pair that shares a skill: job, resume, score, full_req, full_bonus, and gaps, the units of the job that the profile covers in part or not at all.
+def unit_key() -> Column:
+    return F.concat_ws("|", "kind", "unit")
 
-    A job has at most as many units as the caps allow, so its units are one array, and gaps are worked out row by row."""
-    own = units(requirements)
+
+def pair_parts(of_units: DataFrame, skills: DataFrame) -> DataFrame:
+    """One row per pair that shares a skill: job, resume, cov_req, cov_bonus, keys (the units of which the profile holds something), part (those it holds in part).
+
+    A job has at most as many units as the caps allow, so both lists are short; what a pair lacks follows from the job's units, row by row."""
     got = lambda k: F.sum(F.when(F.col("kind") == k, F.col("cover")).otherwise(0.0))
-    name = F.concat_ws("|", "kind", "unit")
-    pairs = covered_units(own, skills).groupBy("job", "resume").agg(got("required").alias("cov_req"), got("bonus").alias("cov_bonus"), F.map_from_entries(F.collect_list(F.struct(name, "cover"))).alias("got"))
-    each = own.groupBy("job", "kind", "unit").agg(F.max("min_required").alias("least"))
-    arrays = each.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("kind", "unit", "least"))).alias("units"))
-    out = pairs.join(unit_totals(own).join(arrays, "job"), "job")
-    out = out.withColumn("score", F.round(score(*(F.col(c) for c in ("cov_req", "cov_bonus", "full_req", "full_bonus"))), 6))
-    covers = F.transform("units", lambda u: F.struct(u["kind"].alias("kind"), u["unit"].alias("unit"), u["least"].alias("least"), F.coalesce(F.try_element_at("got", F.concat_ws("|", u["kind"], u["unit"])), F.lit(0.0)).alias("cover")))
-    return out.select("job", "resume", "score", "full_req", "full_bonus", F.filter(covers, lambda u: u["cover"] < u["least"]).alias("gaps"))
+    part = F.collect_list(F.when(F.col("cover") < F.col("least"), F.struct("kind", "unit", "least", "cover")))
+    return covered_units(of_units, skills).groupBy("job", "resume").agg(got("required").alias("cov_req"), got("bonus").alias("cov_bonus"), F.collect_list(unit_key()).alias("keys"), part.alias("part"))
+
+
+def absent() -> Column:
+    """Of a job's units those of which a pair holds nothing."""
+    return F.filter("units", lambda u: ~F.array_contains("keys", u["key"]))
 
 
 def compare(requirements: DataFrame, skills: DataFrame) -> DataFrame:
@@ -91,7 +93,11 @@ def recommend(pairs: DataFrame, freshness: DataFrame, k: int = 3) -> DataFrame:
 
 def gaps(requirements: DataFrame, skills: DataFrame) -> DataFrame:
     """resume, job, unit, kind, cover, missing for each unit that a profile covers in part or not at all, of pairs that share a skill."""
-    rows = pair_units(requirements, skills).select("resume", "job", F.explode("gaps").alias("g"))
+    own = units(requirements)
+    each = own.groupBy("job", "kind", "unit").agg(F.max("min_required").alias("least"))
+    arrays = each.groupBy("job").agg(F.collect_list(F.struct("kind", "unit", "least", unit_key().alias("key"))).alias("units"))
+    none = F.transform(absent(), lambda u: F.struct(u["kind"].alias("kind"), u["unit"].alias("unit"), u["least"].alias("least"), F.lit(0.0).alias("cover")))
+    rows = pair_parts(own, skills).select("job", "resume", "keys", "part").join(arrays, "job").select("resume", "job", F.explode_outer(F.concat(none, "part")).alias("g")).filter("g is not null")
     return rows.select("resume", "job", "g.kind", "g.unit", (F.col("g.cover") / F.col("g.least")).alias("cover"), F.ceil(F.col("g.least") - F.col("g.cover")).alias("missing"))
 
 
@@ -101,20 +107,16 @@ def shift_set(requirements: DataFrame, skills: DataFrame) -> DataFrame:
     What a unit adds when nothing of it is held is a property of the job, so a job's units are sorted once; a pair leaves out what it covers and
     sorts anew only if it covers a unit in part. One fold counts the steps, another follows these alone."""
     own = units(requirements)
-    key = F.concat_ws("|", "kind", "unit")
-    got = lambda k: F.sum(F.when(F.col("kind") == k, F.col("cover")).otherwise(0.0))
-    part = F.collect_list(F.when(F.col("cover") < F.col("least"), F.struct("unit", "kind", (F.col("least") - F.col("cover")).alias("open"))))
-    pairs = covered_units(own, skills).groupBy("job", "resume").agg(got("required").alias("cov_req"), got("bonus").alias("cov_bonus"), F.collect_list(key).alias("keys"), part.alias("part"))
+    pairs = pair_parts(own, skills)
     whole = F.col("full_req") + BONUS_WEIGHT * F.col("full_bonus")
     loss = lambda open_, kind: -F.round(open_ * F.when(kind == "bonus", BONUS_WEIGHT).otherwise(1.0) * 100 / whole, 6)
     totals = unit_totals(own)
     each = own.groupBy("job", "kind", "unit").agg(F.max("min_required").alias("least")).join(totals, "job")
-    arrays = each.groupBy("job").agg(F.array_sort(F.collect_list(F.struct(loss(F.col("least"), F.col("kind")).alias("loss"), "unit", "kind", key.alias("key")))).alias("units"))
+    arrays = each.groupBy("job").agg(F.array_sort(F.collect_list(F.struct(loss(F.col("least"), F.col("kind")).alias("loss"), "unit", "kind", unit_key().alias("key")))).alias("units"))
     rows = pairs.join(totals.join(arrays, "job"), "job")
     rows = rows.withColumn("score", F.round(score(*(F.col(c) for c in ("cov_req", "cov_bonus", "full_req", "full_bonus"))), 6)).withColumn("cut", next_cut(F.col("score"))).filter("cut is not null")
-    absent = F.filter("units", lambda u: ~F.array_contains("keys", u["key"]))
-    partly = F.transform("part", lambda p: F.struct(loss(p["open"], p["kind"]).alias("loss"), p["unit"].alias("unit"), p["kind"].alias("kind"), F.concat_ws("|", p["kind"], p["unit"]).alias("key")))
-    rows = rows.select("resume", "job", "score", "cut", F.when(F.size("part") == 0, absent).otherwise(F.array_sort(F.concat(absent, partly))).alias("ordered"))
+    partly = F.transform("part", lambda p: F.struct(loss(p["least"] - p["cover"], p["kind"]).alias("loss"), p["unit"].alias("unit"), p["kind"].alias("kind"), F.concat_ws("|", p["kind"], p["unit"]).alias("key")))
+    rows = rows.select("resume", "job", "score", "cut", F.when(F.size("part") == 0, absent()).otherwise(F.array_sort(F.concat(absent(), partly))).alias("ordered"))
     short = lambda at: at < F.col("cut") - 1e-5
     count = F.aggregate("ordered", F.struct(F.col("score").alias("at"), F.lit(0).alias("n")), lambda run, g: F.when(short(run["at"]), F.struct((run["at"] - g["loss"]).alias("at"), (run["n"] + 1).alias("n"))).otherwise(run))
     done = F.when(short(F.col("run.at")), 0).otherwise(F.col("run.n"))
