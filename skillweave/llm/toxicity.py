@@ -148,10 +148,12 @@ class Scanner:
             new = set().union(*found)
         fresh = list(new)
         self.held += sum(map(len, fresh))
-        values = self.marks.rows([unit_of(t) for t in fresh])
-        some = values.any(1)
-        self.telling.update((fresh[k], values[k]) for k in np.flatnonzero(some))
-        self.plain.update(t for t, s in zip(fresh, some, strict=True) if not s)
+        for a in range(0, len(fresh), 5_000):
+            part = fresh[a : a + 5_000]
+            values = self.marks.rows([unit_of(t) for t in part])
+            some = values.any(1)
+            self.telling.update((part[k], values[k].copy()) for k in np.flatnonzero(some))  # a view would keep the rows of all other tokens
+            self.plain.update(t for t, s in zip(part, some, strict=True) if not s)
         out = np.zeros((len(texts), len(self.marks.words)), np.float32)
         for k, own in enumerate(found):
             for t in own.difference(self.plain):
