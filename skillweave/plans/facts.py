@@ -77,7 +77,7 @@ def votes(spark, sf_dir):
 
 
 def vote_summary(spark, sf_dir):
-    return vt.vote_summary(votes(spark, sf_dir))
+    return vt.vote_summary(votes(spark, sf_dir), v.tasks(spark, sf_dir))
 
 
 def revote(spark, sf_dir):
@@ -90,7 +90,7 @@ def mentions(spark, sf_dir):
 
 
 def mention_rollup(spark, sf_dir):
-    return vt.roll_up(mentions(spark, sf_dir))
+    return vt.roll_up(mentions(spark, sf_dir), v.tasks(spark, sf_dir))
 
 
 def coverage_pool(spark, sf_dir):
@@ -101,7 +101,7 @@ def coverage_pool(spark, sf_dir):
 
 
 def confidence_layer(spark, sf_dir):
-    rolled = vt.roll_up(mentions(spark, sf_dir))
+    rolled = vt.roll_up(mentions(spark, sf_dir), v.tasks(spark, sf_dir))
     return rolled.groupBy("job", vt.layer(F.col("excerpt"), F.col("n_sources"), F.col("confidence")).alias("layer")).agg(F.count("*").alias("n"))
 
 
