@@ -81,8 +81,7 @@ def vote_summary(spark, sf_dir):
 
 
 def revote(spark, sf_dir):
-    rows = votes(spark, sf_dir)
-    return vt.revote(rows, rows.filter("line = 7").select("evidence").distinct())
+    return vt.revote(votes(spark, sf_dir), v.retracted(spark, sf_dir), v.tasks(spark, sf_dir))
 
 
 def mentions(spark, sf_dir):
