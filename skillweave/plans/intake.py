@@ -21,8 +21,9 @@ def payload_coerce(spark, sf_dir):
 
 def proposals(spark, sf_dir):
     """A proposal per rolled-up pair with three sources, under its content's name."""
-    rolled = votes.roll_up(facts.mentions(spark, sf_dir)).filter("n_sources >= 2")
-    kinds = votes.vote_summary(facts.votes(spark, sf_dir)).select("job", "skill", "kind")
+    tasks = v.tasks(spark, sf_dir)
+    rolled = votes.roll_up(facts.mentions(spark, sf_dir), tasks).filter("n_sources >= 2")
+    kinds = votes.vote_summary(facts.votes(spark, sf_dir), tasks).select("job", "skill", "kind")
     rows = rolled.join(kinds, ["job", "skill"], "left").withColumn("layer", votes.layer(F.col("excerpt"), F.col("n_sources"), F.col("confidence")))
     name = F.concat(F.lit("evt-"), F.substring(F.sha2(F.concat_ws("|", "job", "skill", F.coalesce("kind", F.lit("")), "layer"), 256), 1, 20))
     return rows.select(name.alias("id"), "job", "skill", "kind", "layer", "n_sources", "excerpt")
