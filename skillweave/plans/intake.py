@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import history, mentions, release, votes
 from ..sources import postings
 from ..sources import views as v
+from ..sources.shared import saved
 from . import facts
 
 W, R = "WITH ", v.REQUIREMENTS_SQL
@@ -31,7 +32,7 @@ def proposals(spark, sf_dir):
 
 def review_effects(spark, sf_dir):
     """Decisions: the events of the job's number, by their review."""
-    own = proposals(spark, sf_dir)
+    own = saved(proposals(spark, sf_dir), "proposals")
     last = v.events(spark, sf_dir).filter("review in ('approved', 'rejected') and value > 59").select("job", "review", F.col("id").alias("decided_at"))
     decisions = own.select("id", "job").join(last, "job").select("id", "review", "decided_at")
     return votes.review_effects(own, decisions).groupBy("layer", "review").agg(F.count("*").alias("n"))
