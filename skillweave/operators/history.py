@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
+from .votes import evidence_sizes
+
 KEY = ["job", "skill"]
 
 
@@ -73,19 +76,19 @@ def as_of(versions: DataFrame, day: Column) -> DataFrame:
     return versions.filter((F.col("valid_from") <= day) & (F.col("valid_to").isNull() | (day < F.col("valid_to"))))
 
 
-def assemble(versions: DataFrame, evidence: DataFrame, retracted: DataFrame) -> DataFrame:
+def assemble(versions: DataFrame, evidence: DataFrame, retracted: DataFrame, tasks: int | None = None) -> DataFrame:
     """Open versions with evidence(job, skill, evidence) that isn't among retracted(evidence); one retracted source takes the version out."""
-    bad = evidence.join(retracted, "evidence", "left_semi").select(*KEY).distinct()
-    sources = evidence.groupBy(*KEY).agg(F.countDistinct("evidence").alias("n_evidence"))
+    bad = spread(evidence.join(retracted, "evidence", "left_semi").select(*KEY), tasks, *KEY).distinct()
+    sources = spread(evidence, tasks, *KEY).groupBy(*KEY).agg(F.countDistinct("evidence").alias("n_evidence"))
     return versions.filter("valid_to is null and not retracted").join(bad, KEY, "left_anti").join(sources, KEY, "left").withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
 
 
-def coverage_shift(mentions: DataFrame, low: float = 0.15, high: float = 0.30) -> DataFrame:
+def coverage_shift(mentions: DataFrame, low: float = 0.15, high: float = 0.30, tasks: int | None = None) -> DataFrame:
     """Coverage of each (job, skill) per quarter (mentions: job, skill, evidence, observed_on), its change, and whether it crosses low to high."""
     rows = mentions.withColumn("quarter", F.trunc("observed_on", "quarter"))
-    size = rows.groupBy("job", "quarter").agg(F.countDistinct("evidence").alias("size"))
-    each = rows.groupBy("job", "skill", "quarter").agg(F.countDistinct("evidence").alias("n")).join(size, ["job", "quarter"])
-    each = each.withColumn("coverage", F.col("n") / F.col("size"))
+    size = spread(evidence_sizes(rows, "job", "quarter"), tasks, "job", "quarter")
+    each = spread(rows.select(*KEY, "quarter", "evidence"), tasks, *KEY).groupBy(*KEY, "quarter").agg(F.countDistinct("evidence").alias("n"))
+    each = spread(spread(each, tasks, "job", "quarter").join(size, ["job", "quarter"]).withColumn("coverage", F.col("n") / F.col("size")), tasks, *KEY)
     before = F.coalesce(F.lag("coverage").over(Window.partitionBy(*KEY).orderBy("quarter")), F.lit(0.0))
     out = each.withColumn("before", before)
     return out.select(*KEY, "quarter", F.round("coverage", 6).alias("coverage"), F.round(F.col("coverage") - F.col("before"), 6).alias("shift"), ((F.col("before") < low) & (F.col("coverage") >= high)).alias("crossed"))

@@ -57,7 +57,7 @@ def requirement_assembly(spark, sf_dir):
 
 
 def coverage_shift(spark, sf_dir):
-    return h.coverage_shift(v.lines(spark, sf_dir))
+    return h.coverage_shift(v.lines(spark, sf_dir), tasks=v.tasks(spark, sf_dir))
 
 
 def source_stats(spark, sf_dir):
