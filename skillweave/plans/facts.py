@@ -95,8 +95,7 @@ def mention_rollup(spark, sf_dir):
 def coverage_pool(spark, sf_dir):
     """Coverage of a skill over the whole cluster of its job's evidence."""
     rows = mentions(spark, sf_dir)
-    sizes = rows.groupBy("job").agg(F.countDistinct("evidence").alias("size"))
-    return vt.pooled(vt.roll_up(rows), sizes).select("job", "skill", "n_evidence", "coverage", "pooled")
+    return vt.pooled(vt.roll_up(rows, v.tasks(spark, sf_dir)), vt.evidence_sizes(rows, "job")).select("job", "skill", "n_evidence", "coverage", "pooled")
 
 
 def confidence_layer(spark, sf_dir):
