@@ -52,8 +52,7 @@ def expire_absent(spark, sf_dir):
 def requirement_assembly(spark, sf_dir):
     rows = v.lines(spark, sf_dir)
     evidence = rows.select("job", "skill", "evidence")
-    retracted = rows.filter("line = 7").select("evidence").distinct()
-    return h.assemble(v.history(spark, sf_dir), evidence, retracted).select("job", "skill", "valid_from", "n_evidence")
+    return h.assemble(v.history(spark, sf_dir), evidence, v.retracted(spark, sf_dir), v.tasks(spark, sf_dir)).select("job", "skill", "valid_from", "n_evidence")
 
 
 def coverage_shift(spark, sf_dir):
