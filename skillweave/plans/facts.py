@@ -109,19 +109,21 @@ def category_majority(spark, sf_dir):
     return vt.majority(rows, "skill", "category", "seen")
 
 
-def equivalent_count(spark, sf_dir):
-    rows = v.requirements(spark, sf_dir)
+def equivalent_count(spark, sf_dir, rows=None):
+    rows = v.requirements(spark, sf_dir) if rows is None else rows
     a = r.equivalent_count(rows, ["required"]).withColumnRenamed("n", "n_required")
     b = r.equivalent_count(rows, ["required", "bonus"]).withColumnRenamed("n", "n_formal")
     return b.join(a, "job", "left").select("job", F.coalesce("n_required", F.lit(0)).alias("n_required"), "n_formal")
 
 
-def gate_errors(spark, sf_dir):
+def gate_errors(spark, sf_dir, stats=None, ranked=None):
     """All pairs with three mentions, ungrouped, against the ranked table as the previous release; jobs that are multiples of 5 are overridden."""
-    stats = saved(v.requirement_stats(spark, sf_dir).filter("n_sources >= 2"), "stats")
+    stats = saved(v.requirement_stats(spark, sf_dir), "stats") if stats is None else stats
+    ranked = v.requirements(spark, sf_dir, stats) if ranked is None else ranked
+    stats = stats.filter("n_sources >= 2")
     rows = stats.select("job", "skill", F.when(F.col("explicit") * 2 >= F.col("mentions"), "required").otherwise("bonus").alias("kind"), F.lit(None).cast("string").alias("group_id"), F.lit(1).alias("min_required"))
     overrides = rows.filter("job % 5 = 0").select("job").distinct()
-    return r.gate_errors(rows, v.requirements(spark, sf_dir).filter("rank <= 8"), overrides)
+    return r.gate_errors(rows, ranked.filter("rank <= 8"), overrides)
 
 
 def rank_requirements(spark, sf_dir):
@@ -145,10 +147,12 @@ def alternative_groups(spark, sf_dir):
 
 
 def audit(spark, sf_dir):
-    """One row per job: counts, period delta, gate."""
-    counts = equivalent_count(spark, sf_dir)
+    """One row per job: counts, period delta, gate. All are read from the same statistics and the same ranked table."""
+    stats = saved(v.requirement_stats(spark, sf_dir), "stats")
+    ranked = v.requirements(spark, sf_dir, stats)
+    counts = equivalent_count(spark, sf_dir, ranked)
     delta = h.period_delta(v.history(spark, sf_dir)).groupBy("job").agg(F.sum((F.col("change") == "added").cast("int")).alias("n_added"), F.sum((F.col("change") == "expired").cast("int")).alias("n_expired"))
-    errors = gate_errors(spark, sf_dir).groupBy("job").agg(F.count("*").alias("n_errors"))
+    errors = gate_errors(spark, sf_dir, stats, ranked).groupBy("job").agg(F.count("*").alias("n_errors"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return counts.join(delta, "job", "left").join(errors, "job", "left").select("job", "n_required", "n_formal", zero("n_added"), zero("n_expired"), zero("n_errors"))
 
