@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
+from .votes import evidence_sizes
+
 SKILL = "name string, kind string, proficiency string, confidence string, excerpt string, section string, category string, raw_name string, action string, context string, candidate_type string, vote string, group_id string, min_required string"
 PAYLOAD = f"job_name string, domain string, target string, skills array<struct<{SKILL.replace(' string', ':string')}>>"
 
@@ -91,10 +94,10 @@ def supported(claims: DataFrame, bodies: DataFrame) -> DataFrame:
     return claims.join(found, "claim", "left").select("claim", F.coalesce("found", F.lit(True)).alias("supported"))
 
 
-def group_coverage(mentions: DataFrame, groups: DataFrame) -> DataFrame:
+def group_coverage(mentions: DataFrame, groups: DataFrame, tasks: int | None = None) -> DataFrame:
     """Share of a job's evidence in which enough members of a group (job, skill, group_id, min_required) occur."""
-    hits = mentions.select("job", "skill", "evidence").distinct().join(groups, ["job", "skill"]).groupBy("job", "group_id", "evidence").agg(F.count("*").alias("n"), F.max("min_required").alias("least"))
-    size = mentions.groupBy("job").agg(F.countDistinct("evidence").alias("size"))
+    hits = spread(mentions.select("job", "skill", "evidence"), tasks, "job", "skill").distinct().join(groups, ["job", "skill"]).groupBy("job", "group_id", "evidence").agg(F.count("*").alias("n"), F.max("min_required").alias("least"))
+    size = evidence_sizes(mentions, "job")
     met = hits.filter("n >= least").groupBy("job", "group_id").agg(F.count("*").alias("n"))
     return met.join(size, "job").select("job", "group_id", "n", F.round(F.col("n") / F.col("size"), 6).alias("coverage"))
 

@@ -60,7 +60,7 @@ def group_repair(spark, sf_dir):
 
 def group_coverage(spark, sf_dir):
     groups = v.requirements(spark, sf_dir).filter("group_id is not null").select("job", "skill", F.concat_ws(":", "kind", "group_id").alias("group_id"), "min_required")
-    return mentions.group_coverage(v.lines(spark, sf_dir), groups)
+    return mentions.group_coverage(v.lines(spark, sf_dir), groups, v.tasks(spark, sf_dir))
 
 
 def skill_merge(spark, sf_dir):
