@@ -92,8 +92,8 @@ def history_assembly(spark, sf_dir):
 def job_bodies(spark, sf_dir):
     """Evidence per job that is not retracted (line 7 retracts its order)."""
     rows = v.lines(spark, sf_dir)
-    gone = rows.filter("line = 7").select("evidence").distinct()
-    return rows.join(gone, "evidence", "left_anti").groupBy("job").agg(F.count_distinct("evidence").alias("n_bodies"), F.max("observed_on").alias("latest"))
+    each = rows.join(v.retracted(spark, sf_dir), "evidence", "left_anti").groupBy("job", "evidence").agg(F.max("observed_on").alias("latest"))
+    return each.groupBy("job").agg(F.count("evidence").alias("n_bodies"), F.max("latest").alias("latest"))
 
 
 def manual_expiry(spark, sf_dir):
