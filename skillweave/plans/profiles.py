@@ -10,6 +10,7 @@ from ..operators import curation as c
 from ..operators import dedup, history, matching
 from ..operators import profiles as p
 from ..sources import views as v
+from ..sources.shared import spread
 from . import facts, texts
 from .matching import COMPARE_SQL, freshness
 
@@ -198,11 +199,11 @@ def report_rewrites(spark, sf_dir):
 def report_lists(spark, sf_dir):
     """Per pair with a shared skill: of the three first strengths and risks by rank, their number and smallest and largest rank."""
     own, skills = v.requirements(spark, sf_dir), v.resume_skills(spark, sf_dir)
-    got = own.join(skills, "skill").select("job", "resume", "skill", "rank", "level", "held")
-    w = Window.partitionBy("job", "resume").orderBy("rank")
-    best = got.filter("held >= level").withColumn("nth", F.row_number().over(w)).filter("nth <= 3").groupBy("job", "resume").agg(F.count("*").alias("n_strengths"), F.min("rank").alias("best_strength"))
-    weak = got.filter("held < level").withColumn("nth", F.row_number().over(w)).filter("nth <= 3").groupBy("job", "resume").agg(F.count("*").alias("n_risks"), F.max("rank").alias("last_risk"))
-    return best.join(weak, ["job", "resume"], "full").select("job", "resume", F.coalesce("n_strengths", F.lit(0)).alias("n_strengths"), "best_strength", F.coalesce("n_risks", F.lit(0)).alias("n_risks"), "last_risk")
+    got = own.join(skills, "skill").select("job", "resume", "rank", (F.col("held") >= F.col("level")).alias("ok")).filter("ok is not null")
+    w = Window.partitionBy("job", "resume", "ok").orderBy("rank")
+    few = spread(got, v.tasks(spark, sf_dir), "job", "resume").withColumn("nth", F.row_number().over(w)).filter("nth <= 3")
+    n = lambda x: F.count(F.when(x, 1))
+    return few.groupBy("job", "resume").agg(n(F.col("ok")).alias("n_strengths"), F.min(F.when(F.col("ok"), F.col("rank"))).alias("best_strength"), n(~F.col("ok")).alias("n_risks"), F.max(F.when(~F.col("ok"), F.col("rank"))).alias("last_risk"))
 
 
 NAMED = r"""bw AS (SELECT item_id, lower(text) AS x FROM benchmark),
