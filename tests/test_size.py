@@ -2,8 +2,9 @@
 
 import pytest
 from conftest import DATA, table
+from pyspark.sql import functions as F
 
-from skillweave.operators import votes
+from skillweave.operators import matching, votes
 from skillweave.plans import registry
 from skillweave.sources import shared, views
 
@@ -39,6 +40,18 @@ def test_dedup_keep_earliest_dealt_out(spark, monkeypatch):
     assert rows() == whole
 
 
+def test_gap_totals_are_the_gaps_summed(spark):
+    """Members of one unit may ask for different minima, and a profile may hold any of them."""
+    rows = spark.createDataFrame(
+        [(1, s, k, 2, g, m) for s, k, g, m in [(1, "required", "a", 1), (2, "required", "a", 3), (3, "required", "a", 2), (4, "bonus", None, 1), (5, "required", None, 1), (6, "bonus", "b", 2), (7, "bonus", "b", 2)]] + [(2, 5, "required", 1, None, 1)],
+        "job long, skill long, kind string, level int, group_id string, min_required int",
+    )
+    skills = spark.createDataFrame([(10, 1, 1), (10, 4, 1), (11, 2, 3), (11, 3, 1), (12, 5, 1), (12, 6, 1), (13, 5, 3), (None, 5, 1)], "resume long, skill long, held int")
+    want = matching.gaps(rows, skills).groupBy("resume", "kind").agg(F.count("*").alias("n_gaps"), F.sum("missing").alias("missing"), F.sum("cover").alias("half_covered"))
+    got = matching.gap_totals(rows, skills)
+    assert table(got.toPandas()) == table(want.toPandas())
+
+
 def test_revote_in_one_pass_is_two_votes(spark):
     rows = spark.createDataFrame([(1, 1, 1, 1, "required"), (1, 1, 2, 2, "required"), (1, 1, 3, 3, "bonus"), (1, 2, 2, 2, "bonus"), (1, 2, 4, 5, "bonus"), (1, 3, 5, None, "required"), (1, 3, 6, 7, "required"), (1, 4, 2, 1, None), (None, 4, 1, 1, "bonus"), (None, 4, 9, 2, "bonus")], "job long, skill long, evidence long, source long, vote string")
     gone = spark.createDataFrame([(2,), (2,), (6,), (None,)], "evidence long")
