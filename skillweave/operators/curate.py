@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved, spread
 from .gate import BLANKS, present, stripped
 from .release import FORMAL_CAP, REQUIRED_CAP
 
@@ -61,12 +62,12 @@ def supported(rows: DataFrame, evidence: DataFrame) -> DataFrame:
     return own.join(found.groupBy("job", "skill").agg(F.count("*").alias("n_sources")), ["job", "skill"])
 
 
-def best_per_name(rows: DataFrame, aliases: dict[str, str], generic: list[str], brands: list[str], broad: list[str]) -> DataFrame:
+def best_per_name(rows: DataFrame, aliases: dict[str, str], generic: list[str], brands: list[str], broad: list[str], tasks: int | None = None) -> DataFrame:
     named = rows.filter("skill is not null").withColumn("name", canonical(F.coalesce(F.col("name"), F.col("skill").cast("string")), aliases)).withColumn("noise", noise_kind(F.col("name"), generic, brands, broad))
     kept = named.filter("noise not in ('generic', 'brand')").withColumn("explicit", (F.coalesce("kind", F.lit("")) == "required").cast("int")).withColumn("narrow", (F.col("noise") != "broad_domain").cast("int"))
     kept = kept.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)).cast("double"))
     order = Window.partitionBy("job", "name").orderBy(F.desc("n_sources"), F.desc("explicit"), F.desc("narrow"), F.desc("confidence"), "skill")
-    return kept.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+    return spread(kept, tasks, "job", "name").withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
 
 
 def members_and_units(best: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,11 +102,15 @@ def greedy(units: DataFrame, required_cap: int = REQUIRED_CAP, formal_cap: int =
 
 
 def formal_requirements(
-    rows: DataFrame, evidence: DataFrame, *, required_cap: int = REQUIRED_CAP, formal_cap: int = FORMAL_CAP,
-    aliases: dict[str, str] = ALIASES, generic: list[str] = GENERIC, brands: list[str] = BRANDS, broad: list[str] = BROAD,
+    rows: DataFrame, evidence: DataFrame | None, *, required_cap: int = REQUIRED_CAP, formal_cap: int = FORMAL_CAP,
+    aliases: dict[str, str] = ALIASES, generic: list[str] = GENERIC, brands: list[str] = BRANDS, broad: list[str] = BROAD, tasks: int | None = None,
 ) -> DataFrame:
-    """job, skill, name, kind, group_id, min_required, n_sources, confidence of the rows(job, skill, name, kind, group_id, min_required, confidence, sources) that stay formal."""
-    members, of_units = members_and_units(best_per_name(supported(rows, evidence), aliases, generic, brands, broad))
+    """job, skill, name, kind, group_id, min_required, n_sources, confidence of the rows(job, skill, name, kind, group_id, min_required, confidence, sources) that stay formal.
+
+    Rows whose sources are counted already bring n_sources instead, with None as evidence. The best row per name is written once; all else reads it."""
+    counted = rows.filter("n_sources > 0") if evidence is None else supported(rows, evidence)
+    best = best_per_name(counted, aliases, generic, brands, broad, tasks).select("job", "skill", "name", "group_id", "min_required", "confidence", "n_sources", "explicit", "narrow")
+    members, of_units = members_and_units(saved(best, "best-per-name"))
     chosen = of_units.join(greedy(of_units, required_cap, formal_cap), ["job", "unit"]).select("job", "unit", "size", "cost", "taken_as")
     alone = F.col("size") == 1
     return members.join(chosen, ["job", "unit"]).select(
