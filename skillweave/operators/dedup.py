@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hamming, simhash_tokens
-from ..sources.shared import saved
+from ..sources.shared import saved, spread, tasks_for
 
 DISTANCE = 3
 WIDTHS = (11, 11, 11, 11, 10, 10)
@@ -55,8 +56,9 @@ def class_keys(classes: DataFrame) -> DataFrame:
 
 
 def near_classes(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct hashes at most DISTANCE bits apart."""
+    """Pairs (a, b), a < b, of distinct hashes at most DISTANCE bits apart. The keys of the classes, which are best a table, go to tasks of bounded size."""
     keys = class_keys(classes)
+    keys = spread(keys, tasks_for(classes.count() * comb(len(WIDTHS), 3)), "blocks", "bits")
     other = keys.withColumnRenamed("simhash", "b")
     pairs = keys.withColumnRenamed("simhash", "a").join(other, ["blocks", "bits"]).filter("a < b").filter(hamming(F.col("a"), F.col("b")) <= DISTANCE)
     return pairs.select("a", "b").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import dedup, evaluation, market, taxonomy
 from ..sources import views as v
+from ..sources.shared import saved
 from . import facts
 
 W, R = "WITH ", v.REQUIREMENTS_SQL
@@ -49,6 +50,7 @@ def simhash(spark, sf_dir):
 def near_dup_pairs(spark, sf_dir):
     """Pairs of distinct hashes at most three bits apart, with the number of texts of each."""
     sizes = dedup.simhash(v.table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("simhash").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    sizes = saved(sizes, "classes")  # read four times; the texts are hashed once
     a, b = (sizes.select(F.col("simhash").alias(s), F.col("n").alias(f"n_{s}"), F.col("doc_id").alias(f"doc_{s}")) for s in "ab")
     rows = dedup.near_classes(sizes.select("simhash")).join(a, "a").join(b, "b")
     swap = F.col("doc_a") > F.col("doc_b")
