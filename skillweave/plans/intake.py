@@ -31,9 +31,10 @@ def proposals(spark, sf_dir):
 
 
 def review_effects(spark, sf_dir):
-    """Decisions: the events of the job's number, by their review."""
+    """Decisions: all approvals and rejections among the events of the job's number; the job's last one holds for each of its proposals."""
     own = saved(proposals(spark, sf_dir), "proposals")
-    last = v.events(spark, sf_dir).filter("review in ('approved', 'rejected') and value > 59").select("job", "review", F.col("id").alias("decided_at"))
+    made = v.events(spark, sf_dir).filter("review in ('approved', 'rejected')")
+    last = made.groupBy("job").agg(F.max_by("review", "id").alias("review"), F.max("id").alias("decided_at"))
     decisions = own.select("id", "job").join(last, "job").select("id", "review", "decided_at")
     return votes.review_effects(own, decisions).groupBy("layer", "review").agg(F.count("*").alias("n"))
 
@@ -106,7 +107,7 @@ pq AS (SELECT 'evt-' || substr(sha256(job || '|' || skill || '|' || coalesce(kin
 QUERIES = {
     "payload_coerce": (payload_coerce, "WITH e AS (SELECT event_type, TRY_CAST(props ->> '$.k' AS DOUBLE) AS k FROM events) SELECT event_type, round(avg(CASE WHEN k IS NULL THEN 0.5 ELSE least(1.0, greatest(0.0, CASE WHEN k > 1 THEN k / 100 ELSE k END)) END), 6) AS confidence, CAST(sum(CASE WHEN k >= 1 THEN floor(k) ELSE 1 END) AS BIGINT) AS total FROM e GROUP BY event_type"),
     "proposals": (proposals, W + R + "," + ROLLED + " SELECT id, job, skill, kind, layer, n_sources, excerpt FROM pq"),
-    "review_effects": (review_effects, W + R + "," + ROLLED + "," + v.EVENTS_SQL + """, dc AS (SELECT job, arg_max(review, id) AS review FROM ev WHERE review IN ('approved', 'rejected') AND value > 59 GROUP BY job)
+    "review_effects": (review_effects, W + R + "," + ROLLED + "," + v.EVENTS_SQL + """, dc AS (SELECT job, arg_max(review, id) AS review FROM ev WHERE review IN ('approved', 'rejected') GROUP BY job)
 SELECT layer, coalesce(dc.review, CASE WHEN layer = 'high' AND excerpt <> '' AND n_sources >= 3 AND kind IS NOT NULL THEN 'auto_passed' ELSE 'pending' END) AS review, count(*) AS n FROM pq LEFT JOIN dc ON dc.job = pq.job GROUP BY ALL"""),
     "definition_passed": (definition_passed, W + R + " SELECT job, count(*) AS n_claims, bool_and(n_sources >= CASE WHEN kind = 'bonus' THEN 1 ELSE 2 END) AS passed FROM req WHERE rank <= 10 GROUP BY job"),
     "budget_selection": (budget_selection, None),

@@ -3,9 +3,11 @@
 import json
 
 import pytest
+from conftest import DATA, table
 from pyspark.sql import functions as F
 
 from skillweave.operators import mentions, release
+from skillweave.plans import registry
 from skillweave.sources import postings
 
 
@@ -80,3 +82,20 @@ def test_claims_need_their_excerpt(spark):
     claims = spark.createDataFrame([(1, "abc", ["x", "y"]), (2, "zzz", ["x"]), (3, "q", [])], "claim long, excerpt string, sources array<string>")
     bodies = spark.createDataFrame([("x", "no"), ("y", "1 abc 2")], "source string, body string")
     assert {r["claim"]: r["supported"] for r in mentions.supported(claims, bodies).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_every_approval_and_rejection_decides(spark, duck, tmp_path):
+    """Approvals of any value count, the job's last decision wins; events that only wait or pass by themselves are none."""
+    for name in ("lineitem", "orders"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{DATA}/{name}.parquet")
+    rows = [(1, 1, 20.0), (2, 2, 95.0), (3, 2, 58.9), (4, 3, 25.0), (5, 3, 90.0), (6, 4, 95.0), (7, 4, 59.0), (8, 4, 10.0), (9, 4, 70.0), (10, 5, 19.9), (11, 5, 89.0), (12, 77, 30.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").selectExpr("event_id", "timestamp '2024-01-01' as ts", "user_id", "'view' as event_type", "value", "'{}' as props").write.parquet(f"{tmp_path}/events.parquet")
+    decided = {1: "approved", 2: "approved", 3: "rejected", 4: "approved"}
+    own = registry.QUERIES["proposals"](spark, DATA).toPandas()
+    passes = (own["layer"] == "high") & (own["n_sources"] >= 3) & own["kind"].notna()
+    own["review"] = own["job"].map(decided).fillna(passes.map({True: "auto_passed", False: "pending"}))
+    want = table(own.groupby(["layer", "review"]).size().reset_index(name="n"))
+    assert table(registry.QUERIES["review_effects"](spark, str(tmp_path)).toPandas()) == want
+    with duck.cursor() as other:
+        other.execute(f"CREATE TEMP VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        assert table(other.execute(registry.ORACLE_SQL["review_effects"]).df()) == want
